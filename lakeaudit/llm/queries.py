@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, line_index, sharding, sql, url_filter
 from .common import table
 
 
@@ -25,7 +25,36 @@ def op10_bpe_encoding_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SHARDS = tuple(f"shard-{k:04d}" for k in range(256))
+
+URL_RULES = (
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+)
+
+
+def op2_sharding_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_index.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("n_lines"), F.col("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 LLM_QUERIES = {
+    "op2_sharding_lookup_table": op2_sharding_lookup_table,
+    "op8_url_language_model": op8_url_language_model,
+    "op9_line_dedup": op9_line_dedup,
     "op10_bpe_encoding_decoding": op10_bpe_encoding_decoding,
 }
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = {
+    "op8_url_language_model": sql.OP8,
+    "op9_line_dedup": sql.OP9,
+}
