@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_index, sharding, sql, url_filter
+from . import bpe, language_id, line_index, quality, repetition, sharding, sql, url_filter
 from .common import table
 
 
@@ -39,6 +39,21 @@ def op2_sharding_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op5_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,6 +65,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_sharding_lookup_table": op2_sharding_lookup_table,
+    "op4_language_id": op4_language_id,
+    "op5_suffix_array_repetition": op5_suffix_array_repetition,
+    "op6_weak_label_quality": op6_weak_label_quality,
     "op8_url_language_model": op8_url_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_encoding_decoding": op10_bpe_encoding_decoding,
