@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, line_index, quality, repetition, sharding, sql, url_filter
+from . import bpe, jaccard_join, language_id, line_index, quality, repetition, sharding, sql, url_filter
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op2_sharding_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"), n=3, part=90, whole=100)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
@@ -65,6 +69,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op2_sharding_lookup_table": op2_sharding_lookup_table,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_language_id": op4_language_id,
     "op5_suffix_array_repetition": op5_suffix_array_repetition,
     "op6_weak_label_quality": op6_weak_label_quality,
