@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_index, quality, repetition, sharding, sql, url_filter
+from . import bpe, jaccard_join, language_id, line_index, quality, repetition, sharding, sql, substring_dedup, url_filter
 from .common import table
 
 
@@ -58,6 +58,12 @@ def op6_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return kept.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -73,6 +79,7 @@ LLM_QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_suffix_array_repetition": op5_suffix_array_repetition,
     "op6_weak_label_quality": op6_weak_label_quality,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_url_language_model": op8_url_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_encoding_decoding": op10_bpe_encoding_decoding,
