@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard_join, language_id, line_index, quality, repetition, sharding, sql, substring_dedup, url_filter
+from . import bpe, decontaminate, jaccard_join, language_id, line_index, quality, repetition, sharding, sql, substring_dedup, url_filter
 from .common import table
 
 
@@ -35,6 +35,10 @@ URL_RULES = (
 )
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding_lookup_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
 
@@ -74,6 +78,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sharding_lookup_table": op2_sharding_lookup_table,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_language_id": op4_language_id,
