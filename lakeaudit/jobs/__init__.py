@@ -1 +1,4 @@
 
+"""Registered queries."""
+
+from . import fact_queries, graph_queries  # noqa: F401
