@@ -1,4 +1,4 @@
 
 """Registered queries."""
 
-from . import fact_queries, finding_queries, graph_queries  # noqa: F401
+from . import fact_queries, finding_queries, graph_queries, plan_queries  # noqa: F401
