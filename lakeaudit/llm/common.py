@@ -40,8 +40,22 @@ def shared_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to a shared table and read again: lineage ends here, and lost executors cost nothing."""
+    """``df`` written to a shared table and read again: lineage ends here, and lost executors cost nothing.
+
+    The shuffles behind the table aren't needed any more. Spark's cleaner drops them once the driver has
+    collected its garbage, which a long job on a large heap may not do for hours, so it is asked to.
+    """
     spark = df.sparkSession
     path = shared_path(spark, what)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that written() made and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

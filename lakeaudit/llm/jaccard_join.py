@@ -10,6 +10,9 @@ threshold allows, and pass the length and position bounds. For each such n-gram
 it stands earliest is paired with all others; classes that end up in different components are then
 paired completely. So a group of n linked near copies costs about n pairs, and no link is lost.
 
+Before any n-gram is fetched, the counts of both sets in BINS hash bins bound a pair's overlap: it can't
+exceed the sum of the smaller counts.
+
 Verification: for each pair and fragment the partial overlap is counted by itself, and the overlaps
 are summed per pair.
 
@@ -29,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import SLICE_ROWS, written
+from .common import SLICE_ROWS, release, written
 from .graph import components
 
+#: Bins by whose counts pairs are bounded before their n-grams are fetched.
+BINS = 64
 #: Cells of the sketch, and pieces in which it travels.
 CELLS, PIECES = 1 << 20, 64
 FRAGMENTS = 4
@@ -100,29 +105,30 @@ def _classes(values: list[tuple[int, int]]) -> pa.Array:
 
 
 def members(docs: DataFrame, n: int) -> tuple[DataFrame, Order]:
-    """(id, n_grams, cls) of each row of ``docs`` (id, text), and the order of n-grams over all rows."""
+    """(id, n_grams, cls, bins) of each row of ``docs`` (id, text), and the order of n-grams over all rows."""
     kind = dict(docs.dtypes)["id"]
-    names = ["id", "n_grams", "cls", "piece", "counts"]
+    names = ["id", "n_grams", "cls", "piece", "counts", "bins"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sketch, id_type = WordIds(), np.zeros(CELLS, np.int64), None
         for batch in _slices(batches):
-            id_type, sizes, found = batch.column(0).type, [], []
+            id_type, sizes, found, bins = batch.column(0).type, [], [], []
             cells = []
             for text in batch.column(1).to_pylist():
                 grams = shingles(text, n, known)
                 cells.append(grams >> np.uint64(44))
                 sizes.append(len(grams))
+                bins.append(np.bincount((grams & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32))
                 found.append(class_of(grams))
             sketch += np.bincount(np.concatenate(cells).astype(np.int64), minlength=CELLS)
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _classes(found), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), _classes(found), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.array(bins, pa.list_(pa.int32()))], names)
         if id_type is not None:
             parts = [p.astype("<u4").tobytes() for p in np.split(np.minimum(sketch, 2**32 - 1), PIECES)]
             none = pa.StructArray.from_arrays([pa.nulls(PIECES, pa.int64())] * 2, ["h1", "h2"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, id_type), pa.nulls(PIECES, pa.int64()), none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, id_type), pa.nulls(PIECES, pa.int64()), none, pa.array(range(PIECES), pa.int32()), pa.array(parts, pa.binary()), pa.nulls(PIECES, pa.list_(pa.int32()))], names)
 
-    schema = StructType([docs.schema["id"], *StructType.fromDDL("n_grams long").fields, StructField("cls", CLS), *StructType.fromDDL("piece int, counts binary").fields])
+    schema = StructType([docs.schema["id"], *StructType.fromDDL("n_grams long").fields, StructField("cls", CLS), *StructType.fromDDL("piece int, counts binary, bins array<int>").fields])
     both = written(docs.select("id", "text").mapInArrow(run, schema), "jaccard-members")
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +147,7 @@ def members(docs: DataFrame, n: int) -> tuple[DataFrame, Order]:
     by_count = np.sort(counts)
     share = np.cumsum(by_count) / max(1, by_count.sum())
     cuts = by_count[np.minimum(np.searchsorted(share, np.arange(1, FRAGMENTS) / FRAGMENTS), CELLS - 1)]
-    return both.where("piece is null").select("id", "n_grams", "cls"), Order(counts, cuts)
+    return both.where("piece is null").select("id", "n_grams", "cls", "bins"), Order(counts, cuts)
 
 
 def prefixes(docs: DataFrame, n: int, order: Order, part: int, whole: int) -> DataFrame:
@@ -186,6 +192,10 @@ def possible(a: str, b: str, part: int, whole: int) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, member: DataFrame, n: int, order: Order, part: int, whole: int) -> DataFrame:
     """Those of ``pairs`` (a, b: classes, n_a, n_b) whose similarity reaches the threshold."""
     spark = docs.sparkSession
+    bins = written(member.groupBy("cls").agg(F.first("bins").alias("bins")), "jaccard-bins")
+    bounded = pairs.join(bins.select(F.col("cls").alias("a"), F.col("bins").alias("x")), "a").join(bins.select(F.col("cls").alias("b"), F.col("bins").alias("y")), "b")
+    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda total, k: total + k)
+    pairs = written(bounded.where(most * (whole + part) >= (F.col("n_a") + F.col("n_b")) * part).select("a", "b", "n_a", "n_b"), "jaccard-bounded")
     needed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     held = member.join(needed, "cls").groupBy("cls").agg(F.min("id").alias("id"))
     held = written(held, "jaccard-needed")
@@ -223,11 +233,13 @@ def link_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     """Per row: id, n_shingles, component_id (smallest id that links reach; similarity part/whole or more)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     member, order = members(rows, n)
-    classes = member.where("n_grams > 0")
-    postings = written(prefixes(rows, n, order, part, whole).distinct(), "jaccard-prefixes")
+    classes = member.where("n_grams > 0").select("id", "cls")
+    postings = written(prefixes(rows, n, order, part, whole), "jaccard-prefixes")
     # An n-gram that only one class has pairs nothing.
     shared = postings.groupBy("gram").agg(F.min(F.struct("place", "cls")).alias("first"), F.max("cls").alias("z"), F.min("cls").alias("y")).where("y <> z").select("gram", "first")
-    shared = written(postings.join(written(shared, "jaccard-shared"), "gram"), "jaccard-stars")
+    stars_of = written(shared, "jaccard-shared")
+    shared = written(postings.join(stars_of, "gram").distinct(), "jaccard-stars")
+    release(postings)
 
     def pairs(frame: DataFrame) -> DataFrame:
         """frame: cls, place, other, other_place -> distinct pairs that can be linked."""
@@ -249,9 +261,9 @@ def link_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     split = labelled.groupBy("gram").agg(F.min("label").alias("y"), F.max("label").alias("z")).where("y <> z").select("gram")
     apart = written(labelled.join(split, "gram", "left_semi"), "jaccard-apart")
     one = apart.select("gram", "cls", "place", "label")
-    two = apart.select("gram", F.col("cls").alias("other"), F.col("place").alias("other_place"), F.col("label").alias("other_label"))
+    two = apart.select(F.col("gram").alias("same"), F.col("cls").alias("other"), F.col("place").alias("other_place"), F.col("label").alias("other_label"))
     bounds = possible("place", "other_place", part, whole)
-    rest = pairs(one.join(two, (one["gram"] == two["gram"]) & (F.col("label") < F.col("other_label")) & bounds)).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    rest = pairs(one.join(two, (F.col("gram") == F.col("same")) & (F.col("label") < F.col("other_label")) & bounds)).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     if not rest.isEmpty():
         rest = written(rest, "jaccard-rest")
         edges = edges.unionByName(verified(rest, rows, member, n, order, part, whole))
@@ -259,6 +271,6 @@ def link_components(docs: DataFrame, n: int = 5, part: int = 80, whole: int = 10
     names = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     least = names.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = names.select("cls", "label").distinct().join(least, "label").select("cls", "component_id")
-    out = member.join(by_class, "cls", "left")
+    out = member.drop("bins").join(by_class, "cls", "left")
     component = F.when(F.col("n_grams") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n_grams").alias("n_shingles"), component.alias("component_id"))
