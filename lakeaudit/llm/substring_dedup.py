@@ -5,13 +5,14 @@ earlier in the same one. Strings are judged on the input and never cross documen
 
 Suffixes are sampled by content: of the ``GRAM``-byte grams inside a LENGTH-byte window the one with
 the least hash (the leftmost of equals) is the window's anchor, so equal windows have equal anchors, and
-about 1 of 35 positions is one. A suffix array's entry stands for all neighbouring windows of one
-anchor: (gram hash, hash of all their bytes, first owner), sorted by these hashes rather than by the bytes, since
-only equality of long prefixes counts.
+about 1 of 19 positions is one. A suffix array's entry stands for all neighbouring windows of one
+anchor: (gram hash, hash of all their bytes, first owner), sorted by these hashes rather than by the
+bytes, since only equality of long prefixes counts; the two hashes are 128 bits of an entry.
 
 Documents arrive in batches by id. A batch's suffix array is merge-scanned (a sort-merge join) against
-the existing levels: what a level or an earlier entry owns goes. Then the array becomes a level; two
-levels of equal size merge into one of twice the size, so there are never more than log2(batches) + 1.
+the existing levels: what a level owns already goes. What is left becomes a level; two levels of equal
+size merge into one of twice the size, so there are never more than log2(batches) + 1. In the end a
+document's entries that the levels don't own by it are those that start earlier elsewhere.
 Entries that share their gram but not all bytes are told apart window by window at the end.
 
 Grams that occur once can't match. They are left out by exact counts, through a bit filter of bounded
@@ -24,7 +25,6 @@ one document; those with the same id and other text are ordered by a hash of the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, written
+from .common import SLICE_ROWS, release, written
 
-LENGTH, GRAM = 100, 32
-BATCHES = 4
+LENGTH, GRAM = 100, 64
+BATCHES = 2
 LAST = 2**63 - 1
 #: Bits of the filter of repeated grams, and the pieces in which it is built.
 FILTER_BITS, PIECES = 1 << 28, 64
@@ -43,7 +43,7 @@ FILTER_BITS, PIECES = 1 << 28, 64
 BROADCAST_IDS = 2_000_000
 #: Bytes of a text that are anchored at a time; positions fit the low bits of the keys.
 SEGMENT, POSITION_BITS = 1 << 22, 24
-ENTRY = ["gram", "c1", "c2"]
+ENTRY = ["gram", "context"]
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -119,80 +119,76 @@ def _filter(repeated: DataFrame) -> np.ndarray:
     return np.packbits(out.reshape(-1))
 
 
+def candidates(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Those anchors() whose gram is in the filter."""
+    gram, at, lo, hi = anchors(np.frombuffer(data, np.uint8))
+    cell = gram % np.uint64(8 * len(table))
+    some = (table[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    return gram[some], at[some], lo[some], hi[some]
+
+
 def _entries(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, c1, c2, doc, at, lo, hi): anchors whose gram may repeat. at: text hash (high), position (low)."""
+    """(gram, context, doc, at, lo, hi): anchors whose gram may repeat. at: th (high), position (low)."""
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
-        size = np.uint64(8 * len(table))
         for batch in _slices(batches):
             columns = [[] for _ in range(5)]
-            digests = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            contexts = []
+            for doc, th, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 data = _bytes(text)
-                gram, at, lo, hi = anchors(np.frombuffer(data, np.uint8))
-                cell = gram % size
-                some = (table[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-                gram, at, lo, hi = gram[some], at[some], lo[some], hi[some]
-                for column, values in zip(columns, (gram.view(np.int64), np.full(len(at), doc), at + ((crc32(data) >> 1) << 32), lo, hi)):
+                gram, at, lo, hi = candidates(data, table)
+                for column, values in zip(columns, (gram.view(np.int64), np.full(len(at), doc), at + (th << 32), lo, hi)):
                     column.append(values)
-                for a, b, c in zip(lo.tolist(), hi.tolist(), at.tolist()):
-                    digests.append(xxhash.xxh3_128_digest(data[a : b + LENGTH], c - a))
+                contexts += [xxhash.xxh3_64_intdigest(data[a : b + LENGTH], c - a) for a, b, c in zip(lo.tolist(), hi.tolist(), at.tolist())]
             gram, doc, at, lo, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
-            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            arrays = [pa.array(gram), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(doc.astype(np.int64)), pa.array(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "c1", "c2", "doc", "at", "lo", "hi"])
+            arrays = [pa.array(gram), pa.array(np.array(contexts, np.uint64).view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, ["gram", "context", "doc", "at", "lo", "hi"])
 
-    return docs.select("doc", "text").mapInArrow(run, "gram long, c1 long, c2 long, doc long, at long, lo int, hi int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "gram long, context long, doc long, at long, lo int, hi int")
 
 
 OWNER = ["doc", "at", "lo", "hi"]
 
 
 class SuffixIndex:
-    """Levels of (gram, c1, c2, owner), each with its size in batches; documents have to come in order."""
+    """Levels of (gram, context, owner), each with its size in batches; no entry is in two. Documents have to come in order."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
 
-    def insert(self, batch: DataFrame) -> DataFrame:
-        """Add a batch's entries; returns those of them (doc, lo, hi) that an earlier entry owns."""
-        array = written(batch.groupBy(*ENTRY).agg(F.min(F.struct(*OWNER)).alias("owner")), "suffix-array")
-        scanned = array
-        for k, (_, level) in enumerate(self.levels):
-            scanned = scanned.join(level.select(*ENTRY, F.col("owner").alias(f"owner{k}")), ENTRY, "left")
-        owners = [F.col("owner"), *(F.col(f"owner{k}") for k in range(len(self.levels)))]
-        first = scanned.select(*ENTRY, (F.least(*owners) if len(owners) > 1 else owners[0]).alias("first"))
-        if self.levels:
-            first = written(first, "suffix-scan")
-        lost = batch.join(first, ENTRY).where((F.col("first.doc") != F.col("doc")) | (F.col("first.at") != F.col("at")))
-        lost = written(lost.select("doc", F.shiftright("at", 32).alias("th"), "lo", "hi"), "suffix-lost")
-        new = (1, array)
+    def insert(self, batch: DataFrame) -> None:
+        """Add the suffix array of a batch's entries, without what the levels own."""
+        array = batch.groupBy(*ENTRY).agg(F.min(F.struct(*OWNER)).alias("owner"))
+        for _, level in self.levels:
+            array = array.join(level.select(*ENTRY), ENTRY, "left_anti")
+        new = (1, written(array, "suffix-level"))
         while self.levels and self.levels[-1][0] == new[0]:
             size, level = self.levels.pop()
-            merged = level.unionByName(new[1]).groupBy(*ENTRY).agg(F.min("owner").alias("owner"))
-            new = (size + new[0], written(merged, "suffix-level"))
+            merged = written(level.unionByName(new[1]), "suffix-level")
+            release(level, new[1])
+            new = (size + new[0], merged)
         self.levels.append(new)
-        return lost
 
     def owners(self) -> DataFrame:
-        """Each entry's first owner over all levels."""
+        """Each entry's first owner."""
         every = self.levels[0][1]
         for _, level in self.levels[1:]:
             every = every.unionByName(level)
-        return every.groupBy(*ENTRY).agg(F.min("owner").alias("owner"))
+        return every.select("gram", "owner.*")
 
 
 def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
     """(doc, th, lo, hi): windows of first owners that another first owner with the same gram has earlier."""
-    owners = written(index.owners().select("gram", "owner.*"), "suffix-owners")
+    owners = index.owners()
     several = owners.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Copies of a whole context are settled; only grams with several contexts are doubtful.
     doubtful = owners.join(several, "gram", "left_semi")
     asked = written(doubtful.groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-asked")
     ids = asked.select("doc").distinct()
     texts = docs.join(F.broadcast(ids), "doc", "left_semi") if asked.count() <= BROADCAST_IDS else docs
-    texts = texts.select("doc", "th", "text").dropDuplicates(["doc", "th"]).join(asked, ["doc", "th"])
+    texts = texts.select("doc", "th", "text").join(asked, ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -206,41 +202,49 @@ def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
     # What a window's first owner keeps; all other windows of these runs go.
     kept = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("first")).select("first.*")
     kept = kept.groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("kept"))
-    return asked.join(kept, ["doc", "th"], "left")
+    told = written(asked.join(kept, ["doc", "th"], "left"), "suffix-told")
+    release(asked)
+    return told
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, kept (the bytes that stay), n_bytes, removed (maximal removed runs: start, end)."""
-    text_hash = F.shiftrightunsigned(F.crc32(F.coalesce(F.col("text"), F.lit(""))), 1)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("th", text_hash)
+    # Only where ids repeat does a text's hash have to tell rows apart.
+    unique = rows.groupBy("doc").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("th", F.lit(0).cast("long") if unique else F.shiftrightunsigned(F.crc32(F.coalesce(F.col("text"), F.lit(""))), 1))
     repeated = written(_grams(rows).groupBy("gram").count().where("count > 1").select("gram"), "suffix-grams")
-    entries = written(_entries(rows, _filter(repeated)), "suffix-entries")
+    bits = _filter(repeated)
+    release(repeated)
+    kept_entries = written(_entries(rows, bits), "suffix-entries")
     cuts = rows.where(F.col("doc") < LAST).agg(*[F.percentile_approx("doc", k / batches, 1000).alias(f"c{k}") for k in range(1, batches)], F.count(F.lit(1))).first()
     batch = sum(((F.col("doc") > F.lit(cuts[k] if cuts[k] is not None else 0)).cast("int") for k in range(batches - 1)), F.lit(0))
-    entries = entries.withColumn("batch", batch)
+    entries = kept_entries.withColumn("batch", batch)
     index = SuffixIndex()
-    lost = [index.insert(entries.where(F.col("batch") == k)) for k in range(batches)]
-    runs = lost[0]
-    for more in lost[1:]:
-        runs = runs.unionByName(more)
-    runs = runs.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("lost"))
+    for k in range(batches):
+        index.insert(entries.where(F.col("batch") == k))
+    release(kept_entries)
     told = _windows(rows, index)
-    marks = runs.join(told, ["doc", "th"], "full")
-    joined = rows.join(marks, ["doc", "th"], "left").select("id", "text", "lost", "runs", "kept")
+    owned = index.owners().groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("owned"))
+    marks = written(owned.join(told, ["doc", "th"], "full"), "suffix-marks")
+    release(told, *(level for _, level in index.levels))
+    joined = rows.join(marks, ["doc", "th"], "left").select("id", "text", "owned", "runs", "kept")
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             out = []
-            for text, lost, runs, kept in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
+            for text, owned, runs, kept in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
                 data = _bytes(text)
-                if not lost and not runs:
+                _, at, lo, hi = candidates(data, sent.value)
+                lost = ~np.isin(at, owned or [])
+                if not lost.any() and not runs:
                     out.append((data, len(data), []))
                     continue
                 gone = np.zeros(len(data) + 1, bool)
-                for r in (*(lost or ()), *(runs or ())):
-                    gone[r["lo"] : r["hi"] + 1] = True
+                for a, b in (*zip(lo[lost].tolist(), hi[lost].tolist()), *((r["lo"], r["hi"]) for r in runs or ())):
+                    gone[a : b + 1] = True
                 if kept:
                     gone[np.asarray(kept)] = False
                 edge = np.zeros(len(data) + LENGTH + 1, np.int32)
