@@ -30,8 +30,10 @@ from .jaccard_join import mixed
 
 WINDOW, LITERALS = 5, 3
 COVERAGE, AGREEMENT = 0.5, 0.8
-#: Benchmark windows up to which their hashes (8 bytes each) are sent to the tasks as a filter.
-FILTER_ROWS = 4_000_000
+#: Benchmark windows up to which their hashes and words (WINDOW a window at most) are sent to the tasks as a filter.
+FILTER_ROWS = 200_000
+#: Stands for every word that no benchmark item has.
+OTHER = 1
 REMEMBERED = 500_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(%|[a-zµ°]{1,4})?$")
 UNITS = set(
@@ -49,28 +51,37 @@ SLOTS = {NUM: np.uint64(3), TITLE: np.uint64(5), UNIT: np.uint64(7)}
 class Words(dict):
     """A chunk between white space -> its hash (high 60 bits; 0: no word) and flags, of bounded size."""
 
+    def __init__(self, vocabulary: dict[str, int] | None = None):
+        self.vocabulary = vocabulary
+
     def __missing__(self, chunk: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        bare = chunk.rstrip("#*&|~_`\"')]}>”»")
-        flags = END if bare and bare[-1] in ENDS else 0
-        core = chunk.strip(EDGES)
+        flags, core, plain = 0, chunk, chunk.isalpha()
+        if not plain:
+            bare = chunk.rstrip("#*&|~_`\"')]}>”»")
+            flags = END if bare and bare[-1] in ENDS else 0
+            core = chunk.strip(EDGES)
         value = 0
         if core:
             low = core.lower()
-            if NUMBER.fullmatch(low):
+            if not plain and NUMBER.fullmatch(low):
                 flags |= NUM
             elif low in UNITS:
                 flags |= UNIT
-            if len(core) > 1 and core[0].isupper() and core[1:].islower():
+            if low[0] != core[0] and len(core) > 1 and core[1:].islower():
                 flags |= TITLE
-            value = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4 or 1
+            value = word_hash(low) if self.vocabulary is None else self.vocabulary.get(low, OTHER)
         value = self[chunk] = value << 4 | flags
         return value
 
 
-def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words' chunks, their template hashes, and which of them are slots."""
+def word_hash(low: str) -> int:
+    return max(OTHER + 1, xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4)
+
+
+def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The text's chunks, which of them are words, these words' template hashes, and which of them are slots."""
     chunks = (text or "").replace("\n", " . ").split()
     v = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
     flags = (v & np.uint64(15)).astype(np.int64)
@@ -83,31 +94,34 @@ def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.
     name = (flags & TITLE > 0) & ~starts & ~num & ~unit
     for kind, mark in ((NUM, num), (UNIT, unit), (TITLE, name)):
         word[mark] = SLOTS[kind]
-    return [chunks[k] for k in at.tolist()], word, num | unit | name
+    return chunks, at, word, num | unit | name
 
 
 def windows(word: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the windows of ``size`` words with enough literal ones."""
     if size < LITERALS or len(word) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(len(word) - size + 1, size, np.uint64)
-    for k in range(size):
-        h = mixed(h + word[k : len(word) - size + 1 + k]) + np.uint64(0x9E3779B97F4A7C15)
+    # A window with a word that no item has can't match.
+    fit = np.r_[0, np.cumsum(word != np.uint64(OTHER))]
     literal = np.r_[0, np.cumsum(~slot)]
-    at = np.flatnonzero(literal[size:] - literal[:-size] >= LITERALS)
-    return at, h[at]
+    at = np.flatnonzero((fit[size:] - fit[:-size] == size) & (literal[size:] - literal[:-size] >= LITERALS))
+    h = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        h = mixed(h + word[at + k]) + np.uint64(0x9E3779B97F4A7C15)
+    return at, h
 
 
-def _window_rows(df: DataFrame, sizes: list[int] | None, only: np.ndarray | None) -> DataFrame:
+def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray, dict[str, int]] | None) -> DataFrame:
     """(id, at, n, window, slots) of each window of ``df`` (id, text); n: windows of the row.
 
-    sizes: those to take, None: each text's own (WINDOW, or all of a shorter text). only: sorted hashes to keep.
+    sizes: those to take, None: each text's own (WINDOW, or all of a shorter text). only: sorted hashes to keep, and the
+    hashes of the words they are made of.
     """
     sent = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
-        wanted = sent.value if sent else None
+        wanted, vocabulary = sent.value if sent else (None, None)
+        known = Words(vocabulary)
         if wanted is not None:
             cells = np.zeros(1 << 20, bool)
             cells[(wanted >> np.uint64(44)).astype(np.int64)] = True
@@ -116,7 +130,7 @@ def _window_rows(df: DataFrame, sizes: list[int] | None, only: np.ndarray | None
                 batch = whole.slice(start, SLICE_ROWS)
                 row, position, count, hashes, slots = [], [], [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
-                    chunks, word, slot = template(text, known)
+                    chunks, where, word, slot = template(text, known)
                     for size in sizes if sizes is not None else [min(WINDOW, len(word))]:
                         at, h = windows(word, slot, size)
                         n = len(at)
@@ -128,7 +142,7 @@ def _window_rows(df: DataFrame, sizes: list[int] | None, only: np.ndarray | None
                         position += at.tolist()
                         count += [n] * len(at)
                         hashes.append(h)
-                        slots += [[chunks[i].strip(EDGES).lower() for i in range(p, p + size) if slot[i]] for p in at.tolist()]
+                        slots += [[chunks[where[i]].strip(EDGES).lower() for i in range(p, p + size) if slot[i]] for p in at.tolist()]
                 flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
                 ids = batch.column(0).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "n", "window", "slots"])
@@ -137,6 +151,17 @@ def _window_rows(df: DataFrame, sizes: list[int] | None, only: np.ndarray | None
     return df.select("id", "text").mapInArrow(run, schema)
 
 
+def _vocabulary(benchmark: DataFrame) -> dict[str, int]:
+    """The words of the items (text) and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = {c.strip(EDGES).lower() for text in batch.column(0).to_pylist() for c in (text or "").split()}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+    return {row["word"]: word_hash(row["word"]) for row in benchmark.select("text").mapInArrow(run, "word string").where("word <> ''").distinct().collect()}
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id, item, n_windows, n_matched, n_slots, n_agreeing) of each document and item that share a window."""
     items = written(_window_rows(benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")), None, None), "benchmark-windows")
@@ -147,7 +172,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
         sizes |= set(range(LITERALS, WINDOW))
     only = None
     if rows <= FILTER_ROWS:
-        only = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))
+        hashes = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))
+        only = hashes, _vocabulary(benchmark.select(F.col(text_col).alias("text")))
     found = _window_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sorted(sizes), only)
     found = found.select(F.col("id").alias("doc"), "window", F.col("slots").alias("filled"))
     joined = written(found.join(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "window", "slots"), "window"), "benchmark-hits")
