@@ -63,20 +63,22 @@ def with_rule(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def grams(urls: DataFrame) -> DataFrame:
-    """One row for each symbol of a url: the symbol with the two before it."""
+    """One row for each symbol of each row's url: the symbol with the two before it."""
     plain = F.translate(F.regexp_replace("url", "[0-9]", "0"), UPPER, LOWER)
     symbols = F.concat(F.lit("^^"), F.regexp_replace(plain, r"[^a-z0/.\-_?=&#%:+]", "~"))
-    at = F.explode(F.sequence(F.lit(1), F.length("url")))
-    return urls.where(F.length("url") > 0).select("*", symbols.alias("symbols"), at.alias("at")).withColumn("gram", F.col("symbols").substr(F.col("at"), F.lit(3))).drop("symbols", "at")
+    # The symbols are made below the explode, once a URL.
+    mapped = urls.where(F.length("url") > 0).withColumn("symbols", symbols)
+    each = mapped.select("*", F.explode(F.sequence(F.lit(1), F.length("url"))).alias("at"))
+    return each.withColumn("gram", F.col("symbols").substr(F.col("at"), F.lit(3))).drop("symbols", "at")
 
 
 def model(training: DataFrame) -> DataFrame:
     """gram, llr: log-likelihood under the accepted URLs minus that under the rejected, for each known gram.
 
-    training: grams of urls with n (pages) and rule_verdict (null: the gram is listed, but not counted).
+    training: grams of pages with rule_verdict (null: the gram is listed, but not counted).
     Sums, not windows, so only per-gram rows (MODEL_ROWS at most) leave the first aggregation.
     """
-    counted = training.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("rule_verdict") == v, F.col("n"))), F.lit(0)).alias(v) for v in ("allow", "block")])
+    counted = training.groupBy("gram").agg(*[F.count(F.when(F.col("rule_verdict") == v, 1)).alias(v) for v in ("allow", "block")])
     counted = counted.withColumns({"c": F.substring("gram", 3, 1), "bc": F.substring("gram", 2, 2), "b": F.substring("gram", 2, 1), "ab": F.substring("gram", 1, 2)})
 
     def by(frame: DataFrame, *keys: str) -> DataFrame:
@@ -109,9 +111,10 @@ def model(training: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """page_id, url, host, path, rule, llr (per symbol; null without symbols), verdict."""
     pages = with_rule(with_host_and_path(pages.select("page_id", "url")), rules)
-    urls = pages.where(F.length("url") > 0).groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.first("rule_verdict").alias("rule_verdict"))
-    each = grams(urls)
-    scored = each.join(F.broadcast(model(each)), "gram").groupBy("url").agg(F.avg("llr").alias("llr"), F.first("n").alias("n"), F.first("rule_verdict").alias("v"))
+    each = grams(pages.select("url", "rule_verdict"))
+    # Each page of a URL has as many grams as the URL has characters.
+    pages_of = (F.count(F.lit(1)) / F.length("url")).alias("n")
+    scored = each.join(F.broadcast(model(each)), "gram").groupBy("url").agg(F.avg("llr").alias("llr"), pages_of, F.first("rule_verdict").alias("v"))
 
     def moment(v: str) -> tuple[Column, Column]:
         mine = F.col("v") == v
