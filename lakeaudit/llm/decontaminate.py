@@ -3,14 +3,20 @@
 Texts become templates: numbers, names (title-case words inside a sentence) and units (after a number)
 turn into typed placeholders, other words are lower-cased and lose punctuation at both ends. Windows
 of ``WINDOW`` template words are hash-joined with those of the benchmark items; a window counts only if
-at least ``LITERALS`` of its words are literal. A document holds an item if it has ``COVERAGE`` of the
-item's windows and the slots are filled consistently: one value of the item always stands for one and
-the same value in the document (``AGREEMENT`` of the matched slots). So re-parameterised questions
-are caught, and chance matches of generic templates aren't.
+at least ``LITERALS`` of its words are literal. A document holds an item if one occurrence has
+``COVERAGE`` of the item's windows and fills the slots consistently: one name of the item always stands
+for one and the same name, and one place of a number or unit for one and the same value (``AGREEMENT``
+of the matched slots). So re-parameterised questions are caught, and chance matches of generic templates
+aren't.
+
+An occurrence is what matches around one alignment (place in the document less place in the item), give
+or take ``shift()`` words put in or left out. Each alignment is tried and the best one counts, so further
+copies and variants of an item, or of its template, in the same document don't blur each other.
 
 An item shorter than a window is one window; an item with too few literal words has no window and is
 never found. Null and empty texts have no windows. Repeated rows of an id count as one document, repeated
-rows of an item as one item; rows with a null id are grouped under null. No cap on matches.
+rows of an item as one item, but an occurrence lies in one text of each; rows with a null id are grouped
+under null. No cap on matches.
 """
 
 from __future__ import annotations
@@ -21,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SLICE_ROWS, written
+from .common import SLICE_ROWS, map_rows, written
 from .jaccard_join import mixed
 
 WINDOW, LITERALS = 5, 3
@@ -80,6 +86,10 @@ def word_hash(low: str) -> int:
     return max(OTHER + 1, xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> 4)
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+
+
 def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The text's chunks, which of them are words, these words' template hashes, and which of them are slots."""
     chunks = (text or "").replace("\n", " . ").split()
@@ -112,9 +122,10 @@ def windows(word: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray, dict[str, int]] | None) -> DataFrame:
-    """(id, at, n, window, slots) of each window of ``df`` (id, text); n: windows of the row.
+    """(id, copy, at, n, window, slots) of each window of ``df`` (id, text); copy: the text's hash, n: windows of the text.
 
-    sizes: those to take, None: each text's own (WINDOW, or all of a shorter text). only: sorted hashes to keep, and the
+    slots: what fills them; for items, what they are bound by: names by their value, the others by ``#`` and their place.
+    sizes: those to take, None: items, each text's own (WINDOW, or all of a shorter text). only: sorted hashes to keep, and the
     hashes of the words they are made of.
     """
     sent = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
@@ -128,7 +139,7 @@ def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray,
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(start, SLICE_ROWS)
-                row, position, count, hashes, slots = [], [], [], [], []
+                row, copy, position, count, hashes, slots = [], [], [], [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
                     chunks, where, word, slot = template(text, known)
                     for size in sizes if sizes is not None else [min(WINDOW, len(word))]:
@@ -138,16 +149,21 @@ def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray,
                             some = np.flatnonzero(cells[(h >> np.uint64(44)).astype(np.int64)])
                             some = some[np.isin(h[some], wanted)]
                             at, h = at[some], h[some]
+                        if not len(at):
+                            continue
                         row += [k] * len(at)
+                        copy += [text_hash(text)] * len(at)
                         position += at.tolist()
                         count += [n] * len(at)
                         hashes.append(h)
-                        slots += [[chunks[where[i]].strip(EDGES).lower() for i in range(p, p + size) if slot[i]] for p in at.tolist()]
+                        for p in at.tolist():
+                            filled = [i for i in range(p, p + size) if slot[i]]
+                            slots.append([f"#{i}" if sizes is None and word[i] != SLOTS[TITLE] else chunks[where[i]].strip(EDGES).lower() for i in filled])
                 flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
                 ids = batch.column(0).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "at", "n", "window", "slots"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(copy, pa.int64()), pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "copy", "at", "n", "window", "slots"])
 
-    schema = StructType([df.schema["id"], *StructType.fromDDL("at int, n long, window long, slots array<string>").fields])
+    schema = StructType([df.schema["id"], *StructType.fromDDL("copy long, at int, n long, window long, slots array<string>").fields])
     return df.select("id", "text").mapInArrow(run, schema)
 
 
@@ -162,8 +178,70 @@ def _vocabulary(benchmark: DataFrame) -> dict[str, int]:
     return {row["word"]: word_hash(row["word"]) for row in benchmark.select("text").mapInArrow(run, "word string").where("word <> ''").distinct().collect()}
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(id, item, n_windows, n_matched, n_slots, n_agreeing) of each document and item that share a window."""
+def shift(n_windows: int) -> int:
+    """Words that may be put in or left out between parts of an occurrence."""
+    return max(WINDOW, n_windows // 2)
+
+
+def best_occurrence(n_windows: int, hits: list[tuple[int, int, list[str], list[str]]], coverage: float, agreement: float) -> tuple[int, int, int]:
+    """(n_matched, n_slots, n_agreeing) of the best occurrence of an item's text in a document's.
+
+    hits: (place in the document, place in the item, what the item's slots are bound by, what fills them) of each
+    matched window. Around each alignment, every window of the item counts at its nearest hit.
+    """
+    hits = sorted(hits, key=lambda x: (x[0] - x[1], x[1], len(x[2]), x[2], x[3]))
+    aligned = np.array([x[0] - x[1] for x in hits])
+    near, best, found = shift(n_windows), None, (0, 0, 0)
+    for middle in np.unique(aligned).tolist():
+        first, last = np.searchsorted(aligned, [middle - near, middle + near + 1]).tolist()
+        if best is not None and best[0] and min(last - first, n_windows) < found[0]:
+            continue
+        nearest: dict[int, tuple[int, int]] = {}
+        for k in range(first, last):
+            far = abs(hits[k][0] - hits[k][1] - middle), k
+            if far < nearest.get(hits[k][1], (near + 1, 0)):
+                nearest[hits[k][1]] = far
+        votes: dict[str, dict[str, int]] = {}
+        for _, k in nearest.values():
+            for key, value in zip(hits[k][2], hits[k][3], strict=True):
+                some = votes.setdefault(key, {})
+                some[value] = some.get(value, 0) + 1
+        matched, slots, agreeing = len(nearest), sum(sum(v.values()) for v in votes.values()), sum(max(v.values()) for v in votes.values())
+        held = matched >= coverage * n_windows and agreeing >= agreement * slots
+        rank = held, matched, agreeing / slots if slots else 1.0
+        if best is None or rank > best:
+            best, found = rank, (matched, slots, agreeing)
+        if held and matched == n_windows and agreeing == slots:
+            break
+    return found
+
+
+def _occurrences(pairs: DataFrame, coverage: float, agreement: float) -> DataFrame:
+    """pairs (doc, item, n_windows, hits) with the figures of their best occurrence instead of hits."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            figures = [
+                best_occurrence(n, [(x["at"], x["item_at"], x["slots"], x["filled"]) for x in hits], coverage, agreement)
+                for n, hits in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            columns = [pa.array([f[k] for f in figures], pa.int64()) for k in range(3)]
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["doc", "item", "n_windows", "n_matched", "n_slots", "n_agreeing"])
+
+        return each
+
+    pairs = pairs.select("doc", "item", "n_windows", "hits")
+    schema = StructType([*pairs.schema.fields[:3], *StructType.fromDDL("n_matched long, n_slots long, n_agreeing long").fields])
+    return map_rows(pairs, make, schema)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", coverage: float = COVERAGE, agreement: float = AGREEMENT) -> DataFrame:
+    """(id, item, n_windows, n_matched, n_slots, n_agreeing) of each document and item that share a window, of their best occurrence."""
+    return _matches(docs, benchmark, id_col, item_col, text_col, coverage, agreement, 0.0)
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, text_col: str, coverage: float, agreement: float, least: float) -> DataFrame:
+    """matches(), without texts of which not even all hits together cover ``least`` of the item."""
     items = written(_window_rows(benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")), None, None), "benchmark-windows")
     rows = items.count()
     sizes = {WINDOW}
@@ -175,22 +253,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
         hashes = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))
         only = hashes, _vocabulary(benchmark.select(F.col(text_col).alias("text")))
     found = _window_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sorted(sizes), only)
-    found = found.select(F.col("id").alias("doc"), "window", F.col("slots").alias("filled"))
-    joined = written(found.join(items.select(F.col("id").alias("item"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "window", "slots"), "window"), "benchmark-hits")
-    covered = joined.groupBy("doc", "item", "item_at").agg(F.max("n_windows").alias("n_windows")).groupBy("doc", "item").agg(F.max("n_windows").alias("n_windows"), F.count(F.lit(1)).alias("n_matched"))
-    # Each matched slot binds the item's value to the document's; the commonest binding of a value agrees.
-    bound = joined.where(F.size("slots") > 0).select("doc", "item", F.explode(F.arrays_zip("slots", "filled")).alias("s")).select("doc", "item", F.col("s.slots").alias("value"), F.col("s.filled").alias("filled"))
-    votes = bound.groupBy("doc", "item", "value", "filled").agg(F.count(F.lit(1)).alias("n")).groupBy("doc", "item", "value").agg(F.sum("n").alias("n_slots"), F.max("n").alias("n_agreeing"))
-    votes = votes.groupBy(F.col("doc").alias("d"), F.col("item").alias("i")).agg(F.sum("n_slots").alias("n_slots"), F.sum("n_agreeing").alias("n_agreeing"))
-    both = covered.join(votes, F.col("doc").eqNullSafe(F.col("d")) & F.col("item").eqNullSafe(F.col("i")), "left")
-    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("n_slots", "n_agreeing")}
-    return both.withColumns(zero).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_matched", "n_slots", "n_agreeing")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, agreement: float = AGREEMENT, **columns: str) -> DataFrame:
+    found = found.select(F.col("id").alias("doc"), "copy", "at", "window", F.col("slots").alias("filled"))
+    keyed = items.select(F.col("id").alias("item"), F.col("copy").alias("item_copy"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "window", "slots").distinct()
+    joined = written(found.join(keyed, "window"), "benchmark-hits")
+    pairs = joined.groupBy("doc", "copy", "item", "item_copy").agg(
+        F.max("n_windows").alias("n_windows"), F.count_distinct("item_at").alias("covered"), F.collect_set(F.struct("at", "item_at", "slots", "filled")).alias("hits")
+    )
+    judged = _occurrences(pairs.where(F.col("covered") >= least * F.col("n_windows")), coverage, agreement)
+    part, same = F.col("n_matched") / F.col("n_windows"), F.when(F.col("n_slots") > 0, F.col("n_agreeing") / F.col("n_slots")).otherwise(1.0)
+    figures = ["n_windows", "n_matched", "n_slots", "n_agreeing"]
+    held = _held(coverage, agreement)
+    best = judged.groupBy("doc", "item").agg(F.max_by(F.struct(*figures), F.struct(held, part, same, *figures)).alias("best"))
+    return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), *[F.col("best")[c].alias(c) for c in figures])
+
+
+def _held(coverage: float, agreement: float) -> Column:
+    return (F.col("n_matched") >= coverage * F.col("n_windows")) & (F.col("n_agreeing") >= agreement * F.col("n_slots"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, agreement: float = AGREEMENT, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Those matches() that cover enough of the item with consistent slots."""
-    found = matches(docs, benchmark, **columns)
-    return found.where((F.col("n_matched") >= coverage * F.col("n_windows")) & (F.col("n_agreeing") >= agreement * F.col("n_slots")))
+    return _matches(docs, benchmark, id_col, item_col, text_col, coverage, agreement, coverage).where(_held(coverage, agreement))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
