@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
-Texts become templates: numbers, names (title-case words inside a sentence) and units (after a number)
-turn into typed placeholders, other words are lower-cased and lose punctuation at both ends. Windows
+Texts become templates: numbers, names (runs of title-case words inside a sentence) and units (after a number)
+turn into typed placeholders, a title-case word that starts a sentence is read both as a word and as (part of) a name, other words are lower-cased and lose punctuation at both ends. Windows
 of ``WINDOW`` template words are hash-joined with those of the benchmark items; a window counts only if
 at least ``LITERALS`` of its words are literal. A document holds an item if one occurrence has
 ``COVERAGE`` of the item's windows and fills the slots consistently: one name of the item always stands
@@ -13,7 +13,7 @@ An occurrence is what matches around one alignment (place in the document less p
 or take ``shift()`` words put in or left out. Each alignment is tried and the best one counts, so further
 copies and variants of an item, or of its template, in the same document don't blur each other.
 
-An item shorter than a window is one window; an item with too few literal words has no window and is
+An item, or a reading of it, that is shorter than a window is one window; an item with too few literal words has no window and is
 never found. Null and empty texts have no windows. Repeated rows of an id count as one document, repeated
 rows of an item as one item, but an occurrence lies in one text of each; rows with a null id are grouped
 under null. No cap on matches.
@@ -90,8 +90,9 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The text's chunks, which of them are words, these words' template hashes, and which of them are slots."""
+def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text's chunks, which of them are words, and of these words the template hash, which are slots, which may be
+    names or not (at the start of a sentence), and where the name that begins there ends (the next word for others)."""
     chunks = (text or "").replace("\n", " . ").split()
     v = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
     flags = (v & np.uint64(15)).astype(np.int64)
@@ -101,31 +102,57 @@ def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.
     word, flags, starts = word[at], flags[at], starts[at]
     num = flags & NUM > 0
     unit = (flags & UNIT > 0) & np.r_[False, num[:-1]][: len(at)]
-    name = (flags & TITLE > 0) & ~starts & ~num & ~unit
+    title = (flags & TITLE > 0) & ~num & ~unit
+    name, either = title & ~starts, title & starts
     for kind, mark in ((NUM, num), (UNIT, unit), (TITLE, name)):
         word[mark] = SLOTS[kind]
-    return chunks, at, word, num | unit | name
+    # A name goes on with the next title-case word, unless a comma or the like comes between.
+    joined = np.zeros(len(at), bool)
+    for i in np.flatnonzero(title[:-1] & name[1:] & (np.diff(at) == 1)).tolist():
+        joined[i] = chunks[at[i]][-1].isalnum()
+    stops = np.flatnonzero(~joined)
+    end = stops[np.searchsorted(stops, np.arange(len(at)))] + 1
+    return chunks, at, word, num | unit | name, either, end
 
 
-def windows(word: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows of ``size`` words with enough literal ones."""
-    if size < LITERALS or len(word) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    # A window with a word that no item has can't match.
-    fit = np.r_[0, np.cumsum(word != np.uint64(OTHER))]
-    literal = np.r_[0, np.cumsum(~slot)]
-    at = np.flatnonzero((fit[size:] - fit[:-size] == size) & (literal[size:] - literal[:-size] >= LITERALS))
-    h = np.full(len(at), size, np.uint64)
-    for k in range(size):
-        h = mixed(h + word[at + k]) + np.uint64(0x9E3779B97F4A7C15)
-    return at, h
+def windows(word: np.ndarray, slot: np.ndarray, either: np.ndarray, end: np.ndarray, sizes: list[int] | None) -> tuple[np.ndarray, ...]:
+    """Positions, hashes, sizes and readings of the windows with enough literal words; bit k of a reading: its k-th word is a name by choice.
+
+    sizes: those to take, None: WINDOW, and readings of the whole text that are shorter.
+    """
+    n, least, most = len(word), LITERALS if sizes is None else min(sizes), WINDOW if sizes is None else max(sizes)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if n >= least:
+        # A window with a word that no item has can't match, nor one that begins within a name.
+        fit = np.r_[0, np.cumsum((word != np.uint64(OTHER)) | either)]
+        inner = np.r_[False, (slot & (end > np.arange(n) + 1))[:-1]]
+        first = np.flatnonzero((fit[least:] - fit[:-least] == least) & ~inner[: n - least + 1])
+        at, h, slots, chosen = first, np.zeros(len(first), np.uint64), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for k in range(most):
+            plain, named = (at < n).nonzero()[0], (at < n).nonzero()[0]
+            plain, named = plain[word[at[plain]] != np.uint64(OTHER)], named[either[at[named]]]
+            p, q = at[plain], at[named]
+            value = np.r_[word[p], np.full(len(q), SLOTS[TITLE], np.uint64)]
+            rows = np.r_[plain, named]
+            first, slots, chosen = first[rows], slots[rows] + np.r_[slot[p], np.ones(len(q), bool)], chosen[rows] | np.r_[np.zeros(len(p), np.int64), np.full(len(q), 1 << k)]
+            h = mixed(h[rows] + value) + np.uint64(0x9E3779B97F4A7C15)
+            at = np.r_[np.where(either[p], p + 1, end[p]), end[q]]
+            some = slots <= most - LITERALS
+            first, at, h, slots, chosen = first[some], at[some], h[some], slots[some], chosen[some]
+            done = k + 1 - slots >= LITERALS
+            if sizes is None and k + 1 < WINDOW:
+                done &= (first == 0) & (at == n)
+            elif sizes is not None and k + 1 not in sizes:
+                continue
+            out.append((first[done], h[done], np.full(done.sum(), k + 1), chosen[done]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray, dict[str, int]] | None) -> DataFrame:
-    """(id, copy, at, n, window, slots) of each window of ``df`` (id, text); copy: the text's hash, n: windows of the text.
+    """(id, copy, at, n, size, window, slots) of each window of ``df`` (id, text); copy: the text's hash, n: places of windows in the text.
 
     slots: what fills them; for items, what they are bound by: names by their value, the others by ``#`` and their place.
-    sizes: those to take, None: items, each text's own (WINDOW, or all of a shorter text). only: sorted hashes to keep, and the
+    sizes: those to take, None: items, WINDOW or all of a shorter reading. only: sorted hashes to keep, and the
     hashes of the words they are made of.
     """
     sent = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
@@ -139,31 +166,37 @@ def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray,
         for whole in batches:
             for start in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(start, SLICE_ROWS)
-                row, copy, position, count, hashes, slots = [], [], [], [], [], []
+                row, copy, position, count, length, hashes, slots = [], [], [], [], [], [], []
                 for k, text in enumerate(batch.column(1).to_pylist()):
-                    chunks, where, word, slot = template(text, known)
-                    for size in sizes if sizes is not None else [min(WINDOW, len(word))]:
-                        at, h = windows(word, slot, size)
-                        n = len(at)
-                        if wanted is not None and n:
-                            some = np.flatnonzero(cells[(h >> np.uint64(44)).astype(np.int64)])
-                            some = some[np.isin(h[some], wanted)]
-                            at, h = at[some], h[some]
-                        if not len(at):
-                            continue
-                        row += [k] * len(at)
-                        copy += [text_hash(text)] * len(at)
-                        position += at.tolist()
-                        count += [n] * len(at)
-                        hashes.append(h)
-                        for p in at.tolist():
-                            filled = [i for i in range(p, p + size) if slot[i]]
-                            slots.append([f"#{i}" if sizes is None and word[i] != SLOTS[TITLE] else chunks[where[i]].strip(EDGES).lower() for i in filled])
+                    chunks, where, word, slot, either, end = template(text, known)
+                    at, h, size, chosen = windows(word, slot, either, end, sizes)
+                    n = len(np.unique(at))
+                    if wanted is not None and len(at):
+                        some = np.flatnonzero(cells[(h >> np.uint64(44)).astype(np.int64)])
+                        some = some[np.isin(h[some], wanted)]
+                        at, h, size, chosen = at[some], h[some], size[some], chosen[some]
+                    if not len(at):
+                        continue
+                    row += [k] * len(at)
+                    copy += [text_hash(text)] * len(at)
+                    position += at.tolist()
+                    count += [n] * len(at)
+                    length += size.tolist()
+                    hashes.append(h)
+                    for i, steps, names in zip(at.tolist(), size.tolist(), chosen.tolist(), strict=True):
+                        filled = []
+                        for step in range(steps):
+                            to = i + 1 if either[i] and not names >> step & 1 else int(end[i])
+                            if slot[i] or names >> step & 1:
+                                placed = sizes is None and not either[i] and word[i] != SLOTS[TITLE]
+                                filled.append(f"#{i}" if placed else " ".join(chunks[c].strip(EDGES).lower() for c in where[i:to]))
+                            i = to
+                        slots.append(filled)
                 flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
                 ids = batch.column(0).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(copy, pa.int64()), pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "copy", "at", "n", "window", "slots"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(copy, pa.int64()), pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(length, pa.int32()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "copy", "at", "n", "size", "window", "slots"])
 
-    schema = StructType([df.schema["id"], *StructType.fromDDL("copy long, at int, n long, window long, slots array<string>").fields])
+    schema = StructType([df.schema["id"], *StructType.fromDDL("copy long, at int, n long, size int, window long, slots array<string>").fields])
     return df.select("id", "text").mapInArrow(run, schema)
 
 
@@ -244,10 +277,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str,
     """matches(), without texts of which not even all hits together cover ``least`` of the item."""
     items = written(_window_rows(benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")), None, None), "benchmark-windows")
     rows = items.count()
-    sizes = {WINDOW}
-    short = items.groupBy("id").agg(F.max("n").alias("n")).where("n = 1")
-    if rows and not short.isEmpty():
-        sizes |= set(range(LITERALS, WINDOW))
+    sizes = {WINDOW} | {r["size"] for r in items.select("size").distinct().collect()}
     only = None
     if rows <= FILTER_ROWS:
         hashes = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))

@@ -36,3 +36,18 @@ def test_best_occurrence():
     two = [(50 + k, k, ["a"], [f"y{k}"]) for k in range(10)]
     assert decontaminate.best_occurrence(10, one + two, 0.5, 0.8) == (10, 10, 10)
     assert decontaminate.best_occurrence(10, two, 0.5, 0.8) == (10, 10, 1)
+
+
+def test_names_that_start_sentences(spark):
+    told = "Anna has 3 apples. Anna buys 4 more. How many does Anna have?"
+    walk = "Anna Maria walks 9 miles to school. Anna Maria then rides 4 miles home. Where does Anna Maria sleep at night?"
+    items = [(1, told), (2, walk), (3, "Anna Maria buys cheap apples")]
+    docs = [
+        (1, told.replace("Anna", "Bob")),
+        (2, "So it goes. " + walk.replace("Anna Maria", "Bob").replace("9", "8")),
+        (3, told + " " + told.replace("Anna", "Bob Lee").replace("3", "5")),
+        (4, "Bob buys cheap apples"),
+        (5, "Here - " + told),
+        (6, "Bob has no pears. Carl sells some. How is that?"),
+    ]
+    assert pairs(spark, docs, items) == {(1, 1), (2, 2), (3, 1), (4, 3), (5, 1)}
