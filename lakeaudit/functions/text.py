@@ -94,9 +94,14 @@ def stable_id(kind: str, path: Column | str, line: Column | str, name: Column |
     return F.concat_ws(":", F.lit(kind), as_column(path), as_column(line).cast("string"), F.regexp_replace(as_column(name), r"\s+", ""))
 
 
+def squeezed(text: Column | str) -> Column:
+    """White space squeezed."""
+    return F.trim(F.regexp_replace(as_column(text), r"\s+", " "))
+
+
 def compact(text: Column | str) -> Column:
     """White space squeezed, at most 500 characters."""
-    return F.substring(F.trim(F.regexp_replace(as_column(text), r"\s+", " ")), 1, 500)
+    return F.substring(squeezed(text), 1, 500)
 
 
 def contains_any(text: Column | str, words: Iterable[str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_column, compact, is_test_or_example, newlines
+from ..functions.text import as_column, compact, is_test_or_example, newlines, squeezed
 
 KEYS = ["project_id", "relative_path"]
 # What the extractors look for.
@@ -164,14 +164,14 @@ def extract_generic_signals(files: DataFrame) -> DataFrame:
 
 
 def extract_xml_sql(files: DataFrame) -> DataFrame:
-    """(KEYS, namespace, statement_id, line, operation, statement) of mapper files with a namespace."""
+    """(KEYS, namespace, statement_id, line, operation, statement) of mapper files with a namespace. Statements are whole."""
     attributes = r"""(?is)<(select|insert|update|delete)\b([^>]*)>(.*?)</\1>"""
     mine = of(files, "xml").where(F.col("content").contains("<mapper"))
     namespaces = mine.select(*KEYS, F.regexp_extract("content", r"""<mapper\b[^>]*\bnamespace\s*=\s*["']([^"']+)["']""", 1).alias("namespace"), "content").where("namespace <> ''")
     packed = namespaces.select("project_id", "relative_path", "content", "namespace")
     found = find_all(packed, attributes, ["verb", "attributes", "body"])
     named = found.join(namespaces.select(*KEYS, "namespace"), KEYS)
-    return named.select(*KEYS, "namespace", F.regexp_extract("attributes", r"""\bid\s*=\s*["']([^"']+)["']""", 1).alias("statement_id"), "line", F.lower("verb").alias("operation"), compact("body").alias("statement")).where("statement_id <> ''")
+    return named.select(*KEYS, "namespace", F.regexp_extract("attributes", r"""\bid\s*=\s*["']([^"']+)["']""", 1).alias("statement_id"), "line", F.lower("verb").alias("operation"), squeezed("body").alias("statement")).where("statement_id <> ''")
 
 
 def sql_facts(statements: DataFrame) -> DataFrame:

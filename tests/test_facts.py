@@ -50,6 +50,19 @@ def test_lines(spark):
     assert got == [(m.group(), text.count("\n", 0, m.start()) + 1) for m in re.finditer(r"x\d+", text)]
 
 
+def test_long_statements(spark):
+    columns = ", ".join(f"column_{k}" for k in range(60))
+    body = f"select {columns}\n  from `orders` o join items i where o.name = ${{name}} and o.id in (select id from old) limit 5"
+    sets = ", ".join(f"column_{k} = 0" for k in range(60))
+    content = f'<mapper namespace="demo.M">\n<select id="all">{body}</select>\n<update id="one">update orders set {sets} where id = 1</update>\n</mapper>\n'
+    files = spark.createDataFrame([("p", "M.xml", "xml", content)], "project_id string, relative_path string, language string, content string")
+    got = {r.statement_id: r for r in facts.sql_facts(facts.extract_xml_sql(files)).collect()}
+    assert got["all"].statement == body.replace("\n  ", " ")
+    assert (got["all"].tables, got["all"].uses_dollar, got["all"].has_where, got["all"].has_pagination) == (["orders", "old"], True, True, True)
+    assert got["one"].has_where
+    assert max(len(r.statement) for r in facts.extract_sql_operations(files).collect()) == 500
+
+
 def test_capability_and_calls(spark):
     files = lake(spark)
     assert {(r.project_id, r.score) for r in relate.detect_capability(files).collect()} == {("one", 0.9), ("two", 0.9)}
