@@ -25,3 +25,31 @@ def test_same(spark, name):
     assert sorted(columns) == sorted(df.columns)
     ours = df.select(*columns).collect()
     assert sorted(map(repr, map(tuple, ours))) == sorted(map(repr, theirs.fetchall()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+def test_whole_walk(spark):
+    def pairs(name, *columns):
+        return duckdb.sql(f"SELECT {', '.join(columns)} FROM read_parquet('{SF}/{name}.parquet')").fetchall()
+
+    edges = {}
+    parts = [p for (p,) in pairs("part", "p_partkey")]
+    nations = {n for (n,) in pairs("nation", "n_nationkey")}
+    for n, c in pairs("customer", "c_nationkey", "c_custkey"):
+        if n in nations:
+            edges.setdefault(f"nation{n}", set()).add(f"customer{c}")
+    for c, o in pairs("orders", "o_custkey", "o_orderkey"):
+        edges.setdefault(f"customer{c}", set()).add(f"order{o}")
+    for o, p in pairs("lineitem", "l_orderkey", "l_partkey"):
+        edges.setdefault(f"order{o}", set()).add(f"part{p}")
+    for p in parts:
+        edges.setdefault(f"part{p}", set()).add(f"order{p}")
+    wanted = set()
+    for start in [f"nation{n}" for n in nations] + [f"part{p}" for p in parts]:
+        seen, frontier = {start: 0}, {start}
+        for depth in range(1, 9):
+            frontier = {t for s in frontier for t in edges.get(s, ())} - seen.keys()
+            seen |= dict.fromkeys(frontier, depth)
+        wanted |= {("w", start, node, depth) for node, depth in seen.items()}
+    got = registry.QUERIES["g1_walk_endpoints"](spark, SF).select("project_id", "start", "node_id", "depth").collect()
+    assert len(got) == len(wanted) and set(map(tuple, got)) == wanted
