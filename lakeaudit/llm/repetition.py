@@ -1,13 +1,17 @@
 """Quality rules on a text's own repetition, from a suffix array of what repeats.
 
 Only positions whose window of ``MIN_REPEAT`` code points occurs again can start a repeat that
-matters, so the suffix array holds these suffixes alone, sorted by doubled ranks. The longest common
+matters, so the suffix array holds these suffixes alone. They are in lexicographic order: their first
+windows are ranked by their code points, and the ranks are doubled from there. The longest common
 prefix of two neighbours is read off the ranks from the longest power down to single code points.
 Of the LCP intervals that hold a suffix the deepest one is that with its closer neighbour: its length
 is the suffix's longest repeat, and the union of these spans is what maximal repeated substrings cover.
-Everything is per text, in memory proportional to that text.
+Everything is per text, in memory proportional to that text: some 20 arrays of 8 bytes a code point,
+for one text at a time, however long it is.
 
 Null and empty text: no words, nothing covered; it fails the base rule on length like any short text.
+Rows are judged one by one: repeated rows and null ids get a row each, columns beside id and text are
+neither read nor returned. Repeats of equal length: all of them count.
 """
 
 from __future__ import annotations
@@ -63,6 +67,30 @@ class Repeats:
 NOTHING = Repeats(np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
 
 
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks from 0 of rows of keys, the first key first; equal rows have one rank."""
+    order = np.lexsort(keys[::-1])
+    step = np.zeros(len(order), np.int64)
+    for key in keys:
+        held = key[order]
+        step[1:] |= held[1:] != held[:-1]
+    out = np.empty_like(step)
+    out[order] = np.cumsum(step)
+    return out
+
+
+def _window_ranks(codes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Lexicographic ranks of the windows of ``width`` code points at ``at``; a window that the text's end cuts comes before longer ones."""
+    letters, dense = np.unique(codes, return_inverse=True)
+    bits = int(len(letters)).bit_length()
+    packed = np.r_[dense.astype(np.uint64) + np.uint64(1), np.zeros(width, np.uint64)]
+    k = 1
+    while 2 * k <= width and 2 * k * bits <= 63:
+        packed = np.r_[packed[:-k] << np.uint64(k * bits) | packed[k:], np.zeros(k, np.uint64)]
+        k *= 2
+    return _ranks(*[packed[at + j] for j in range(0, width, k)])
+
+
 def repeats(text: str, least: int = MIN_REPEAT) -> Repeats:
     """All substrings of ``least`` code points or more that occur twice in ``text``, overlapping or not."""
     n = len(text)
@@ -78,27 +106,24 @@ def repeats(text: str, least: int = MIN_REPEAT) -> Repeats:
     at = _recurring(levels[-1])
     if not at.size:
         return NOTHING
-    # Doubled ranks; a window that isn't in the array occurs once, and has a rank of its own.
+    # Ranks of the recurring positions and of those a window behind them. Where two suffixes still have equal
+    # ranks, all windows so far recur, so the window behind is ranked, too.
+    ranked = np.unique(np.r_[at, at[at + least < n] + least])
+    recurs = np.isin(ranked, at, assume_unique=True)
     pad = n + least
-    alone = -1 - np.arange(pad, dtype=np.int64)
-    order, rank = np.argsort(levels[-1][at], kind="stable"), []
-    new = np.empty(at.size, np.int64)
-    sorted_h = levels[-1][at][order]
-    new[order] = np.r_[0, np.cumsum(sorted_h[1:] != sorted_h[:-1])]
-    k = least
+    alone = -2 - np.arange(pad, dtype=np.int64)
+    new, rank, k = _window_ranks(codes, ranked, least), [], least
     while True:
-        full = alone.copy()
-        full[at] = new
-        rank.append(full)
-        ahead = full[np.minimum(at + k, pad - 1)]
-        order = np.lexsort((ahead, new))
-        a, b = new[order], ahead[order]
-        again = np.empty_like(new)
-        again[order] = np.r_[0, np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))]
-        if again.max() + 1 == at.size or k > n:
+        # A window that isn't in the array occurs once: it equals no other.
+        equal = alone.copy()
+        equal[ranked[recurs]] = new[recurs]
+        rank.append(equal)
+        if np.bincount(new[recurs]).max() == 1 or k > n:
             break
-        new, k = again, 2 * k
-    suffixes = at[order]
+        full = np.full(pad, -1, np.int64)
+        full[ranked] = new
+        new, k = _ranks(new, full[np.minimum(ranked + k, pad - 1)]), 2 * k
+    suffixes = ranked[recurs][np.argsort(new[recurs], kind="stable")]
     p, q = suffixes[:-1], suffixes[1:]
     lcp = np.zeros(p.size, np.int64)
     for j in reversed(range(len(rank))):

@@ -20,7 +20,14 @@ def brute(text, least):
     return cover, longest
 
 
-@settings(max_examples=200, deadline=None)
+def test_longest_repeat_is_between_no_neighbours_by_hash():
+    assert repeats("abaabbabb", 2).longest == 3
+    core, tail = "".join(chr(97 + k * k % 26) for k in range(64)), "".join(chr(65 + k * 7 % 26) for k in range(40))
+    text = core + tail + "1" + core + "2" + core + tail + "3"
+    assert repeats(text).longest == 104
+
+
+@settings(max_examples=2000, deadline=None)
 @given(st.text("abé😀", max_size=70), st.sampled_from([2, 4, 8]))
 def test_repeats(text, least):
     found = repeats(text, least)
@@ -45,6 +52,18 @@ def test_statistics(parts):
     assert word_statistics(text) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(marked))
 
 
+def test_very_long_text():
+    block = "".join(chr(97 + k * k * k % 23) for k in range(5_000))
+    found = repeats(block * 40 + "!" + block)
+    assert found.longest == 39 * 5_000 and found.covered == 41 * 5_000
+
+
+def test_extra_columns_and_null_ids(spark):
+    df = spark.createDataFrame([(None, "a b", 1, True), (None, "a b", 2, False), (3, "x " * 60, 3, True)], "doc_id long, text string, n_words long, kept boolean")
+    got = sorted((r.doc_id or 0, r.n_words, r.kept) for r in judge(df).collect())
+    assert got == [(0, 2, False), (0, 2, False), (3, 60, False)]
+
+
 def test_frame(spark):
     prose = " ".join(f"w{i} x{i * 7 % 101}" for i in range(200))
     copied = prose + " " + prose
