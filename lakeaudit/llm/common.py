@@ -5,12 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Rows that a task holds as Python objects at a time.
 SLICE_ROWS = 256
+#: Bits of a filter of hashes at most, and the pieces in which it is built.
+FILTER_BITS, PIECES = 1 << 28, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +63,41 @@ def release(*tables: DataFrame) -> None:
         for file in table.inputFiles()[:1]:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bit_filter(hashes: DataFrame, n_rows: int, most: int = FILTER_BITS) -> np.ndarray:
+    """Packed bits of the values of the only column (long) of ``hashes``, to be asked by may_hold().
+
+    Some eight bits a row, ``most`` at most: with more rows the filter only lets more values through. It is
+    made in PIECES pieces by the executors, whose size doesn't depend on the rows beyond that.
+    """
+    bits = 1 << min(most.bit_length() - 1, max(16, int(8 * n_rows).bit_length()))
+
+    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(bits // PIECES, bool)
+        for batch in batches:
+            cell = batch.column("h").to_numpy().view(np.uint64) % np.uint64(bits)
+            mine[(cell // np.uint64(PIECES)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(mine).tobytes()], pa.binary())], ["piece", "bits"])
+
+    # The last bits of a hash say its piece, so pieces are even however the hashes are spread.
+    column = hashes.columns[0]
+    keyed = hashes.select(F.col(column).alias("h"), F.col(column).bitwiseAND(F.lit(PIECES - 1)).cast("int").alias("piece"))
+    out = np.zeros((PIECES, bits // PIECES // 8), np.uint8)
+    for row in keyed.groupBy("piece").applyInArrow(build, "piece int, bits binary").collect():
+        out[row["piece"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (uint64) have their bit in a bit_filter()."""
+    cell = hashes % np.uint64(8 * len(table))
+    inner = cell // np.uint64(PIECES)
+    at = (cell % np.uint64(PIECES)) * np.uint64(len(table) // PIECES) + (inner >> np.uint64(3))
+    return (table[at.astype(np.int64)] >> (np.uint8(7) - (inner & np.uint64(7)).astype(np.uint8))) & 1 == 1
+
+
+def holds(table: bytes, value: int) -> bool:
+    """may_hold() of one value of a bit_filter()'s bytes."""
+    inner, piece = divmod(value % (8 * len(table)), PIECES)
+    return table[piece * (len(table) // PIECES) + (inner >> 3)] >> (7 - (inner & 7)) & 1 == 1

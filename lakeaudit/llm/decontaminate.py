@@ -1,9 +1,11 @@
 """Benchmark decontamination by templates.
 
 Texts become templates: numbers, names (runs of title-case words inside a sentence) and units (after a number)
-turn into typed placeholders, a title-case word that starts a sentence is read both as a word and as (part of) a name, other words are lower-cased and lose punctuation at both ends. Windows
-of ``WINDOW`` template words are hash-joined with those of the benchmark items; a window counts only if
-at least ``LITERALS`` of its words are literal. A document holds an item if one occurrence has
+turn into typed placeholders, a title-case word that starts a sentence is read both as a word and as (part of) a
+name, other words are lower-cased and lose punctuation at both ends. Windows of ``WINDOW`` template words are
+hash-joined with those of the benchmark items; a window counts only if at least ``LITERALS`` of its words are
+literal. Filters of bits, of bounded size whatever the benchmark's, tell the tasks which words and windows an
+item may have; what they let through by chance joins nothing. A document holds an item if one occurrence has
 ``COVERAGE`` of the item's windows and fills the slots consistently: one name of the item always stands
 for one and the same name, and one place of a number or unit for one and the same value (``AGREEMENT``
 of the matched slots). So re-parameterised questions are caught, and chance matches of generic templates
@@ -16,30 +18,36 @@ copies and variants of an item, or of its template, in the same document don't b
 An item, or a reading of it, that is shorter than a window is one window; an item with too few literal words has no window and is
 never found. Null and empty texts have no windows. Repeated rows of an id count as one document, repeated
 rows of an item as one item, but an occurrence lies in one text of each; rows with a null id are grouped
-under null. No cap on matches.
+under null. Equally good occurrences and items: each item that is held is reported. Very long texts are
+read whole, one at a time. Columns beside id and text aren't read. No cap on matches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SLICE_ROWS, map_rows, written
+from .common import bit_filter, holds, map_rows, may_hold, release, written
 from .jaccard_join import mixed
 
 WINDOW, LITERALS = 5, 3
 COVERAGE, AGREEMENT = 0.5, 0.8
-#: Benchmark windows up to which their hashes and words (WINDOW a window at most) are sent to the tasks as a filter.
-FILTER_ROWS = 200_000
+#: Bits at most of the filters of the items' windows (8 MB) and words (2 MB).
+WINDOW_BITS, WORD_BITS = 1 << 26, 1 << 24
 #: Stands for every word that no benchmark item has.
 OTHER = 1
+#: Ends a text where several are read in a row; no chunk between white space is like it.
+BOUNDARY = " "
+#: Chunks that are read in a row; a longer text is read alone.
+CHUNKS = 1 << 17
 REMEMBERED = 500_000
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:e[+-]?\d+)?(%|[a-zµ°]{1,4})?$")
 UNITS = set(
@@ -57,13 +65,16 @@ SLOTS = {NUM: np.uint64(3), TITLE: np.uint64(5), UNIT: np.uint64(7)}
 class Words(dict):
     """A chunk between white space -> its hash (high 60 bits; 0: no word) and flags, of bounded size."""
 
-    def __init__(self, vocabulary: dict[str, int] | None = None):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary = vocabulary.tobytes() if vocabulary is not None else None
 
     def __missing__(self, chunk: str) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
         flags, core, plain = 0, chunk, chunk.isalpha()
+        if chunk == BOUNDARY:
+            value = self[chunk] = OTHER << 4 | END
+            return value
         if not plain:
             bare = chunk.rstrip("#*&|~_`\"')]}>”»")
             flags = END if bare and bare[-1] in ENDS else 0
@@ -77,7 +88,9 @@ class Words(dict):
                 flags |= UNIT
             if low[0] != core[0] and len(core) > 1 and core[1:].islower():
                 flags |= TITLE
-            value = word_hash(low) if self.vocabulary is None else self.vocabulary.get(low, OTHER)
+            value = word_hash(low)
+            if self.vocabulary is not None and not holds(self.vocabulary, value):
+                value = OTHER
         value = self[chunk] = value << 4 | flags
         return value
 
@@ -90,10 +103,13 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The text's chunks, which of them are words, and of these words the template hash, which are slots, which may be
-    names or not (at the start of a sentence), and where the name that begins there ends (the next word for others)."""
-    chunks = (text or "").replace("\n", " . ").split()
+def chunks_of(text: str | None) -> list[str]:
+    return (text or "").replace("\n", " . ").split()
+
+
+def template(chunks: list[str], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the chunks are words, and of these words the template hash, which are slots, which may be names
+    or not (at the start of a sentence), and where the name that begins there ends (the next word for others)."""
     v = np.fromiter(map(known.__getitem__, chunks), np.uint64, len(chunks))
     flags = (v & np.uint64(15)).astype(np.int64)
     word = v >> np.uint64(4)
@@ -112,7 +128,7 @@ def template(text: str | None, known: Words) -> tuple[list[str], np.ndarray, np.
         joined[i] = chunks[at[i]][-1].isalnum()
     stops = np.flatnonzero(~joined)
     end = stops[np.searchsorted(stops, np.arange(len(at)))] + 1
-    return chunks, at, word, num | unit | name, either, end
+    return at, word, num | unit | name, either, end
 
 
 def windows(word: np.ndarray, slot: np.ndarray, either: np.ndarray, end: np.ndarray, sizes: list[int] | None) -> tuple[np.ndarray, ...]:
@@ -148,67 +164,86 @@ def windows(word: np.ndarray, slot: np.ndarray, either: np.ndarray, end: np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _window_rows(df: DataFrame, sizes: list[int] | None, only: tuple[np.ndarray, dict[str, int]] | None) -> DataFrame:
-    """(id, copy, at, n, size, window, slots) of each window of ``df`` (id, text); copy: the text's hash, n: places of windows in the text.
+def _runs(texts: list[str | None], together: bool) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Texts (their places, and where their chunks end) that are read in a row, with BOUNDARY behind each; one by one if not ``together``."""
+    rows, ends, run = [], [], []
+    for k, text in enumerate(texts):
+        found = chunks_of(text)
+        if rows and (not together or len(run) + len(found) > CHUNKS):
+            yield rows, ends, run
+            rows, ends, run = [], [], []
+        run += found
+        if together:
+            run.append(BOUNDARY)
+        rows.append(k)
+        ends.append(len(run))
+    if rows:
+        yield rows, ends, run
+
+
+def _window_rows(df: DataFrame, sizes: list[int] | None, filters: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[DataFrame, Broadcast | None]:
+    """(id, copy, at, n, size, window, slots) of each window of ``df`` (id, text); copy: the text's hash, n: places of windows in an item's text.
 
     slots: what fills them; for items, what they are bound by: names by their value, the others by ``#`` and their place.
-    sizes: those to take, None: items, WINDOW or all of a shorter reading. only: sorted hashes to keep, and the
-    hashes of the words they are made of.
+    sizes: those to take, None: items, WINDOW or all of a shorter reading. filters: of the windows and words to look at.
     """
-    sent = df.sparkSession.sparkContext.broadcast(only) if only is not None else None
+    sent = df.sparkSession.sparkContext.broadcast(filters) if filters is not None else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         wanted, vocabulary = sent.value if sent else (None, None)
         known = Words(vocabulary)
-        if wanted is not None:
-            cells = np.zeros(1 << 20, bool)
-            cells[(wanted >> np.uint64(44)).astype(np.int64)] = True
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
-                row, copy, position, count, length, hashes, slots = [], [], [], [], [], [], []
-                for k, text in enumerate(batch.column(1).to_pylist()):
-                    chunks, where, word, slot, either, end = template(text, known)
-                    at, h, size, chosen = windows(word, slot, either, end, sizes)
-                    n = len(np.unique(at))
-                    if wanted is not None and len(at):
-                        some = np.flatnonzero(cells[(h >> np.uint64(44)).astype(np.int64)])
-                        some = some[np.isin(h[some], wanted)]
-                        at, h, size, chosen = at[some], h[some], size[some], chosen[some]
-                    if not len(at):
-                        continue
-                    row += [k] * len(at)
-                    copy += [text_hash(text)] * len(at)
-                    position += at.tolist()
-                    count += [n] * len(at)
-                    length += size.tolist()
-                    hashes.append(h)
-                    for i, steps, names in zip(at.tolist(), size.tolist(), chosen.tolist(), strict=True):
-                        filled = []
-                        for step in range(steps):
-                            to = i + 1 if either[i] and not names >> step & 1 else int(end[i])
-                            if slot[i] or names >> step & 1:
-                                placed = sizes is None and not either[i] and word[i] != SLOTS[TITLE]
-                                filled.append(f"#{i}" if placed else " ".join(chunks[c].strip(EDGES).lower() for c in where[i:to]))
-                            i = to
-                        slots.append(filled)
-                flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
-                ids = batch.column(0).take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(copy, pa.int64()), pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(length, pa.int32()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "copy", "at", "n", "size", "window", "slots"])
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            row, copy, position, count, length, hashes, slots = [], [], [], [], [], [], []
+            for rows, ends, chunks in _runs(texts, sizes is not None):
+                where, word, slot, either, end = template(chunks, known)
+                at, h, size, chosen = windows(word, slot, either, end, sizes)
+                n = len(np.unique(at)) if sizes is None else 0
+                if wanted is not None:
+                    some = np.flatnonzero(may_hold(wanted, h))
+                    at, h, size, chosen = at[some], h[some], size[some], chosen[some]
+                if not len(at):
+                    continue
+                firsts = np.searchsorted(where, [0, *ends])
+                which = np.searchsorted(firsts, at, side="right") - 1
+                row += [rows[k] for k in which.tolist()]
+                codes = {k: text_hash(texts[rows[k]]) for k in set(which.tolist())}
+                copy += [codes[k] for k in which.tolist()]
+                position += (at - firsts[which]).tolist()
+                count += [n] * len(at)
+                length += size.tolist()
+                hashes.append(h)
+                for i, steps, names in zip(at.tolist(), size.tolist(), chosen.tolist(), strict=True):
+                    filled = []
+                    for step in range(steps):
+                        to = i + 1 if either[i] and not names >> step & 1 else int(end[i])
+                        if slot[i] or names >> step & 1:
+                            placed = sizes is None and not either[i] and word[i] != SLOTS[TITLE]
+                            filled.append(f"#{i}" if placed else " ".join(chunks[c].strip(EDGES).lower() for c in where[i:to]))
+                        i = to
+                    slots.append(filled)
+            flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
+            ids = batch.column(0).take(pa.array(row, pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, pa.array(copy, pa.int64()), pa.array(position, pa.int32()), pa.array(count, pa.int64()), pa.array(length, pa.int32()), pa.array(flat), pa.array(slots, pa.list_(pa.string()))], ["id", "copy", "at", "n", "size", "window", "slots"])
+
+        return each
 
     schema = StructType([df.schema["id"], *StructType.fromDDL("copy long, at int, n long, size int, window long, slots array<string>").fields])
-    return df.select("id", "text").mapInArrow(run, schema)
+    return map_rows(df.select("id", "text"), make, schema), sent
 
 
-def _vocabulary(benchmark: DataFrame) -> dict[str, int]:
-    """The words of the items (text) and their hashes."""
+def _words(benchmark: DataFrame) -> DataFrame:
+    """(word): the hashes of the items' words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = {c.strip(EDGES).lower() for text in batch.column(0).to_pylist() for c in (text or "").split()}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+            return pa.RecordBatch.from_arrays([pa.array(sorted(map(word_hash, words)), pa.int64())], ["word"])
+
+        return each
 
-    return {row["word"]: word_hash(row["word"]) for row in benchmark.select("text").mapInArrow(run, "word string").where("word <> ''").distinct().collect()}
+    return map_rows(benchmark.select("text"), make, "word long").distinct()
 
 
 def shift(n_windows: int) -> int:
@@ -275,17 +310,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_
 
 def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, item_col: str, text_col: str, coverage: float, agreement: float, least: float) -> DataFrame:
     """matches(), without texts of which not even all hits together cover ``least`` of the item."""
-    items = written(_window_rows(benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text")), None, None), "benchmark-windows")
-    rows = items.count()
+    asked = benchmark.select(F.col(item_col).alias("id"), F.col(text_col).alias("text"))
+    items = written(_window_rows(asked, None)[0], "benchmark-windows")
     sizes = {WINDOW} | {r["size"] for r in items.select("size").distinct().collect()}
-    only = None
-    if rows <= FILTER_ROWS:
-        hashes = np.sort(items.select("window").distinct().toPandas()["window"].to_numpy(np.int64).view(np.uint64))
-        only = hashes, _vocabulary(benchmark.select(F.col(text_col).alias("text")))
-    found = _window_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sorted(sizes), only)
+    words = written(_words(asked), "benchmark-words")
+    hashes = items.select("window").distinct()
+    filters = bit_filter(hashes, hashes.count(), WINDOW_BITS), bit_filter(words, words.count(), WORD_BITS)
+    found, sent = _window_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sorted(sizes), filters)
     found = found.select(F.col("id").alias("doc"), "copy", "at", "window", F.col("slots").alias("filled"))
     keyed = items.select(F.col("id").alias("item"), F.col("copy").alias("item_copy"), F.col("at").alias("item_at"), F.col("n").alias("n_windows"), "window", "slots").distinct()
     joined = written(found.join(keyed, "window"), "benchmark-hits")
+    sent.destroy()
+    release(items, words)
     pairs = joined.groupBy("doc", "copy", "item", "item_copy").agg(
         F.max("n_windows").alias("n_windows"), F.count_distinct("item_at").alias("covered"), F.collect_set(F.struct("at", "item_at", "slots", "filled")).alias("hits")
     )
