@@ -15,6 +15,8 @@ from pyspark.sql.types import StructType
 SLICE_ROWS = 256
 #: Bits of a filter of hashes at most, and the pieces in which it is built.
 FILTER_BITS, PIECES = 1 << 28, 64
+#: A key is hot if it holds more than one of HOT parts of the rows (and HOT_ROWS rows); there can't be HOT such keys.
+HOT, HOT_ROWS = 1_000, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +70,10 @@ def release(*tables: DataFrame) -> None:
 def bit_filter(hashes: DataFrame, n_rows: int, most: int = FILTER_BITS) -> np.ndarray:
     """Packed bits of the values of the only column (long) of ``hashes``, to be asked by may_hold().
 
-    Some eight bits a row, ``most`` at most: with more rows the filter only lets more values through. It is
+    Some 32 bits a row, ``most`` at most: with more rows the filter only lets more values through. It is
     made in PIECES pieces by the executors, whose size doesn't depend on the rows beyond that.
     """
-    bits = 1 << min(most.bit_length() - 1, max(16, int(8 * n_rows).bit_length()))
+    bits = 1 << min(most.bit_length() - 1, max(16, int(32 * n_rows).bit_length()))
 
     def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.zeros(bits // PIECES, bool)
@@ -101,3 +103,18 @@ def holds(table: bytes, value: int) -> bool:
     """may_hold() of one value of a bit_filter()'s bytes."""
     inner, piece = divmod(value % (8 * len(table)), PIECES)
     return table[piece * (len(table) // PIECES) + (inner >> 3)] >> (7 - (inner & 7)) & 1 == 1
+
+
+def salted_join(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of ``rows`` (written, so that they may be read twice) with ``table`` in which a hot key's rows are split.
+
+    Only the hot keys are broadcast, fewer than HOT whatever the data. Their rows are dealt to as many parts as
+    they hold shares of the whole, and ``table``'s rows of such a key are repeated for each part.
+    """
+    share = max(HOT_ROWS, rows.count() // HOT)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
+    hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, list(keys), "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("_parts")
+    each = table.join(hot, list(keys), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(each, [*keys, "_part"]).drop("_part")
