@@ -15,11 +15,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def ftrl(
-    rows: Sequence[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, size: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, seed: int = 0
+    rows: Sequence[tuple[np.ndarray, np.ndarray | None]], targets: np.ndarray, size: int, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, seed: int = 0
 ) -> np.ndarray:
     """Weights (size, classes) by follow-the-regularised-leader with elastic-net penalties.
 
-    rows: (feature indices, values), each index once a row. targets: class probabilities (rows, classes).
+    rows: (feature indices, values or None for ones), each index once a row. targets: class probabilities (rows, classes).
     """
     z = np.zeros((size, targets.shape[1]))
     n = np.zeros_like(z)
@@ -35,11 +35,14 @@ def ftrl(
             if not len(at):
                 continue
             w = weights(z[at], n[at])
-            g = x[:, None] * (softmax(x @ w) - targets[k])
+            g = x[:, None] * (softmax(x @ w) - targets[k]) if x is not None else np.repeat([softmax(w.sum(0)) - targets[k]], len(at), 0)
             sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
             z[at] += g - sigma * w
             n[at] += g * g
-    return weights(z, n)
+    # By blocks and in place, so that no further array of this size is made.
+    for at in range(0, size, 1 << 16):
+        z[at : at + (1 << 16)] = weights(z[at : at + (1 << 16)], n[at : at + (1 << 16)])
+    return z
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:

@@ -119,7 +119,7 @@ def features(s: dict[str, float], bag: set[str], known: Words) -> np.ndarray:
     first = np.fromiter(map(known.__getitem__, bag), np.uint64, len(bag))
     second = (first * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
     bins = [crc32(f"{name}:{min(20, int(value * 10)) if name != 'words' else int(value).bit_length()}".encode()) for name, value in s.items()]
-    return np.unique(np.concatenate([first % SIZE, second % SIZE, np.array(bins, np.uint64) % SIZE]).astype(np.int64))
+    return np.unique(np.concatenate([first % SIZE, second % SIZE, np.array(bins, np.uint64) % SIZE]).astype(np.int32))
 
 
 def bag_of(text: str) -> set[str]:
@@ -191,12 +191,14 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
 
         return each
 
-    # At most 3 ** labellers patterns leave the aggregation.
-    seen = map_rows(rows.select("text"), vote, "votes string").groupBy("votes").count().toPandas().sort_values("votes")
-    n_rows = int(seen["count"].sum())
+    # At most 3 ** FORM + 3 ** ABUSE + 2 rows, whatever the data: each aspect's patterns, and how many rows have a bad vote.
+    parts = [F.substring("votes", 1, FORM), F.substring("votes", FORM + 1, ABUSE), F.when(F.contains("votes", F.lit("b")), "b").otherwise("-")]
+    each_part = map_rows(rows.select("text"), vote, "votes string").select(F.posexplode(F.array(*parts)).alias("aspect", "pattern"))
+    seen = each_part.groupBy("aspect", "pattern").count().orderBy("aspect", "pattern").toArrow().to_pylist()
+    n_rows = sum(r["count"] for r in seen if r["aspect"] == 2)
 
     # One half of the sample from all rows, the other from those with a bad vote.
-    doubted = int(seen.loc[seen["votes"].str.contains("b"), "count"].sum())
+    doubted = sum(r["count"] for r in seen if r["aspect"] == 2 and r["pattern"] == "b")
     plain, wide = (int(KEYS * min(1.0, 0.45 * sample / max(1, n))) + 1 for n in (n_rows, doubted))
 
     def featurize():
@@ -209,23 +211,28 @@ def judge(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE
                 found = votes(s, bag & every, insults)
                 if key < plain or "b" in found:
                     out.append((found, features(s, bag, known)))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], ["votes", "at"])
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], ["votes", "at"])
 
         return each
 
     chosen = rows.select("text", sample_key("id", "text").alias("key")).where((F.length("text") > 0) & (F.col("key") < max(plain, wide)))
-    fitted = map_rows(chosen, featurize, "votes string, at array<long>").limit(sample).toPandas()
-    fitted = fitted.assign(order=[crc32(np.asarray(a).tobytes()) for a in fitted["at"]]).sort_values(["order", "votes"])
+    fitted = map_rows(chosen, featurize, "votes string, at array<int>").limit(sample).toArrow()
+    x = [(row.values.to_numpy(), None) for row in fitted.column("at").combine_chunks()] if fitted.num_rows else []
+    held = fitted.column("votes").to_pylist()
+    turn = sorted(range(len(x)), key=lambda k: (crc32(x[k][0].astype(np.int64).tobytes()), held[k]))
+    x = [x[k] for k in turn]
     weights = np.zeros((SIZE, 2), np.float32)
     for k, part in enumerate((slice(0, FORM), slice(FORM, FORM + ABUSE))):
-        groups = seen.assign(votes=seen["votes"].str[part]).groupby("votes")["count"].sum()
-        if not len(groups) or not len(fitted):
+        mine = {r["pattern"]: r["count"] for r in seen if r["aspect"] == k}
+        if not mine or not x:
             continue
-        _, _, bad = em(list(groups.index), groups.to_numpy(float))
-        p = fitted["votes"].str[part].map(dict(zip(groups.index, bad))).to_numpy()
-        x = [(np.asarray(a, np.int64), np.ones(len(a))) for a in fitted["at"]]
+        _, _, bad = em(list(mine), np.array(list(mine.values()), float))
+        known_bad = dict(zip(mine, bad))
+        p = np.array([known_bad[held[i][part]] for i in turn])
         w = ftrl(x, np.stack([1 - p, p], 1), SIZE, epochs=3, alpha=0.05, l1=1.0, l2=0.5)
         weights[:, k] = w[:, 1] - w[:, 0]
+        del w
+    del x, fitted
     sent = spark.sparkContext.broadcast(weights)
 
     def scored():
