@@ -174,14 +174,90 @@ def test_quality(spark):
     assert quality.judge(spark.createDataFrame([], DOCS)).count() == 0
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+LEAK = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+
+
+def write_tables(spark, at, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(at / "documents.parquet"))
+    spark.createDataFrame([(1, LEAK)], "item_id long, text string").write.parquet(str(at / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+
+
+def brute_pipeline(rows):
+    """(doc_id, text) of the rows that are left, of rows that the classifier accepts; lines have no repeats here."""
+    texts = [(10**9 if d is None else d, t) for d, t, *_ in rows]
+    label = list(range(len(rows)))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in texts]
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if k == old else k for k in label]
+    kept = []
+    for c in set(label):
+        mine = [texts[k] for k in range(len(rows)) if label[k] == c]
+        least = min(d for d, _ in mine)
+        kept.append({x for x in mine if x[0] == least})
+    return [{x for x in some if LEAK not in (x[1] or "").lower()} for some in kept]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
-    leak = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    texts = [text_of(*range(k * 60, k * 60 + 60)) for k in range(12)]
-    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate([*texts, texts[0] + " more", texts[5] + " " + leak, " ".join(["###"] * 60)])]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
-    # One bad document among so few may stay; the near copy and the leak go.
-    assert set(range(12)) <= set(got) <= {*range(12), 14} and all(hashlib.sha256(bytes(r.ids)).hexdigest() == r.ids_sha256 for r in got.values())
+    texts = [text_of(*range(k * 60, k * 60 + 60)) for k in range(14)]
+    found = [(k, t) for k, t in enumerate(texts[:10])]
+    # Near copies, a repeated id with another text, identical rows, rows without an id, a leak beside a clean row of its id.
+    found += [(20, texts[0] + " more"), (0, texts[10]), (3, texts[3]), (None, texts[11]), (None, texts[11]), (None, texts[4] + " more"), (21, texts[12] + " " + LEAK), (21, texts[13])]
+    found += [(30, None), (31, ""), (32, " ".join(["###"] * 60))]
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in found]
+    write_tables(spark, tmp_path, rows)
+    accepted = {r.text for r in quality.judge(spark.createDataFrame(rows, SCHEMA), spark.read.parquet(str(tmp_path / "labels.parquet"))).where("kept").collect()}
+    assert set(texts[:10]) <= accepted and None not in accepted and "" not in accepted
+    got = pipeline.run(spark, str(tmp_path)).collect()
+    assert all(hashlib.sha256(bytes(r.ids)).hexdigest() == r.ids_sha256 for r in got)
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(pipeline.tokenizer_file())
+
+    def row(d, t):
+        ids = library.encode(t, add_special_tokens=False).ids
+        return None if d == 10**9 else d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+
+    choices = [x for x in brute_pipeline([r for r in rows if r[1] in accepted]) if x]
+    mine = [(r.doc_id, r.n_tokens, r.ids_sha256) for r in got]
+    # One row of each group, and no other row; of several with the smallest id any one.
+    assert len(mine) == len(choices)
+    assert all(sum(m in {row(*x) for x in some} for m in mine) == 1 for some in choices)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    write_tables(spark, tmp_path, [])
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_jaccard_templates_that_are_alike(spark):
+    """Many texts that share rare n-grams, but no two of them enough."""
+    base = list(range(60))
+    docs = [(k, text_of(*[j + 1000 * (k + 1) * (j % 12 == k % 12 or j % 15 == k // 12) for j in base])) for k in range(40)]
+    docs += [(100 + k, t + " end") for k, t in docs[:5]]
+    df = spark.createDataFrame([(d, t, None, "x") for d, t in docs], "doc_id long, text string, cls string, n_grams string")
+    got = jaccard_join.link_components(df, n=2, part=90).select("doc_id", "n_shingles", "component_id").collect()
+    assert {tuple(r) for r in got} == linked(docs, 2, 90)
+
+
+def test_salted_join(spark, monkeypatch):
+    from lakeaudit.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(7, k) for k in range(200)] + [(k, k) for k in range(20)] + [(None, 1)], "key long, x long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 20)] + [(7, "w")], "key long, y string")
+    got = sorted(map(tuple, common.salted_join(rows, table, "key").collect()))
+    assert got == sorted(map(tuple, rows.join(table, "key").collect()))
+
+
+def test_bit_filter(spark):
+    from lakeaudit.llm import common
+
+    held = [k * 7919 - 2**40 for k in range(5_000)]
+    table = common.bit_filter(spark.createDataFrame([(h,) for h in held], "h long"), len(held))
+    assert common.may_hold(table, np.array(held, np.int64).view(np.uint64)).all()
+    assert common.may_hold(table, np.random.default_rng(0).integers(0, 2**63, 20_000).astype(np.uint64)).mean() < 0.05
