@@ -1,6 +1,8 @@
 """A corpus from raw documents, in stages: quality, lines, near copies, benchmark leaks, tokens.
 
-Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Every stage works on
+rows, not on ids: rows with one doc_id but other text, and rows without a doc_id, are judged and kept or
+dropped by themselves. Columns beside COLUMNS are not carried on. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,32 +17,47 @@ from lakeaudit.llm.queries import tokenizer_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with key: (doc_id, hash of the row), never null; rows without an id come last. Only identical rows share one."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id")
+    return docs.select(*COLUMNS).withColumn("key", F.struct(number, F.xxhash64("text", "lang", "source", "n_chars").alias("row")))
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly labelled classifier accepts."""
+    """Documents that the weakly labelled classifier accepts. Null and empty texts go; identical rows share their fate."""
     return quality.judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that an earlier document holds; n_chars follows the text."""
+    """All documents, without the lines that an earlier document holds; n_chars follows the text.
+
+    Rows of one doc_id, and those without any, count as one document here: lines that they share stay in each.
+    """
     kept = line_index.dedup(docs)
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", chars).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles (similarity 0.8 or more) the one with the smallest id."""
-    found = jaccard_join.link_components(docs)
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """Of rows linked by 5-word shingles (similarity 0.8 or more) the one with the smallest doc_id, and of
+    these the one with the smallest hash; of identical rows one. Texts without a word are linked with nothing, and stay.
+    """
+    keyed = with_key(docs)
+    found = jaccard_join.link_components(keyed, id_col="key").where("n_shingles > 0")
+    held = found.groupBy("key").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    marks = written(held.where("first <> key or n > 1").select("key", (F.col("first") == F.col("key")).alias("stays")), "pipeline-marks")
+    alone = keyed.join(marks.select("key"), "key", "left_anti")
+    several = keyed.join(marks.where("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return alone.unionByName(several).select(*COLUMNS)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    """Documents that hold no benchmark item. Null and empty texts hold none."""
+    return decontaminate.clean(with_key(docs), table(spark, sf_dir, "benchmark"), id_col="key").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (as in ids_sha256) and the decoded text's hash."""
+    """doc_id, n_tokens, ids (as in ids_sha256) and the decoded text's hash, of each row; a null text is an empty one."""
     coded = bpe.encode_and_decode(docs, tokenizer_file())
     return coded.select(
         "doc_id",
@@ -59,7 +76,7 @@ STAGES = [
     ("BPE encoding and decoding", tokens),
 ]
 
-#: The classifier and the tokenizer are beyond SQL; tests hold run() against brute-force versions.
+#: The classifier and the tokenizer are beyond SQL; a test holds run(), given the classifier's verdicts, against brute force.
 ORACLE_SQL = None
 
 
