@@ -45,15 +45,15 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to a shared table and read again: lineage ends here, and lost executors cost nothing.
+def written(df: DataFrame, what: str, *parts: str) -> DataFrame:
+    """``df`` written to a shared table, in folders by the columns ``parts``, and read again: lineage ends here, and lost executors cost nothing.
 
     The shuffles behind the table aren't needed any more. Spark's cleaner drops them once the driver has
     collected its garbage, which a long job on a large heap may not do for hours, so it is asked to.
     """
     spark = df.sparkSession
     path = shared_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(parts) or None)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,6 +64,8 @@ def release(*tables: DataFrame) -> None:
         spark = table.sparkSession
         for file in table.inputFiles()[:1]:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            while "=" in path.getName():
+                path = path.getParent()
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

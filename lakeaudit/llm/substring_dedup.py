@@ -6,44 +6,47 @@ earlier in the same one. Strings are judged on the input and never cross documen
 Suffixes are sampled by content: of the ``GRAM``-byte grams inside a LENGTH-byte window the one with
 the least hash (the leftmost of equals) is the window's anchor, so equal windows have equal anchors, and
 about 1 of 19 positions is one. A suffix array's entry stands for all neighbouring windows of one
-anchor: (gram hash, hash of all their bytes, first owner), sorted by these hashes rather than by the
-bytes, since only equality of long prefixes counts; the two hashes are 128 bits of an entry.
+anchor: its first eight bytes, its gram's hash, the hash of all the windows' bytes, and its first owner.
+Arrays are tables in buckets by these keys and sorted by them inside: by content for eight bytes and by
+hash beyond, since only equality of prefixes of GRAM bytes and more counts.
 
-Documents arrive in batches by id. A batch's suffix array is merge-scanned (a sort-merge join) against
-the existing levels: what a level owns already goes. What is left becomes a level; two levels of equal
-size merge into one of twice the size, so there are never more than log2(batches) + 1. In the end a
-document's entries that the levels don't own by it are those that start earlier elsewhere.
-Entries that share their gram but not all bytes are told apart window by window at the end.
+Documents arrive in ``BATCHES`` batches by id. A batch's suffix array is merge-scanned (a sort-merge join
+over the buckets, so that levels are never shuffled) against the existing levels: what a level owns
+already goes. What is left becomes a level of size one; two levels of equal size merge, bucket by bucket,
+into one of twice the size, so there are never more than log2(batches) + 1. In the end a document's
+entries that the levels don't own by it are those that start earlier elsewhere. Entries that share their
+gram but not all bytes are told apart window by window at the end.
 
 Grams that occur once can't match. They are left out by exact counts, through a bit filter of bounded
-size: beyond ``FILTER_BITS`` it only lets more of them through.
+size, which at worst lets more of them through.
 
 Null and empty text: zero bytes. Null ids come after all others. Rows with the same id and text are
-one document; those with the same id and other text are ordered by a hash of the text.
+one document; those with the same id and other text are ordered by a hash of the text. Ids are whole
+numbers. Very long texts are anchored SEGMENT bytes at a time. Columns beside id and text aren't read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, release, written
+from .common import SLICE_ROWS, bit_filter, may_hold, release, written
 
 LENGTH, GRAM = 100, 64
-BATCHES = 2
+BATCHES = 8
 LAST = 2**63 - 1
-#: Bits of the filter of repeated grams, and the pieces in which it is built.
-FILTER_BITS, PIECES = 1 << 28, 64
-#: Documents up to which their ids may be broadcast: 8 bytes each.
-BROADCAST_IDS = 2_000_000
 #: Bytes of a text that are anchored at a time; positions fit the low bits of the keys.
 SEGMENT, POSITION_BITS = 1 << 22, 24
-ENTRY = ["gram", "context"]
+#: Bytes of short texts that are anchored together.
+TOGETHER = 1 << 16
+ENTRY = ["head", "gram", "context"]
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -57,28 +60,60 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xD6E8FEB86659FD93)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """gram hashes, positions, and first and last window start of each run of windows with one anchor."""
-    found = []
-    for start in range(0, max(0, len(data) - LENGTH + 1), SEGMENT):
-        piece = data[start : start + SEGMENT + LENGTH - 1]
-        h = _hashes(piece)
-        low = np.uint64(POSITION_BITS)
-        key = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
-        width, k, least = LENGTH - GRAM + 1, 1, key
-        while 2 * k <= width:
-            least = np.minimum(least[:-k], least[k:])
-            k *= 2
-        if k < width:
-            least = np.minimum(least[: k - width], least[width - k :])
-        at = (least & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:] - 1, len(at) - 1]
-        found.append((h[at[first]], at[first] + start, first + start, last + start))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    return tuple(np.concatenate(x) for x in zip(*found))
+def _nearest(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its anchor's position, and the hashes of all grams."""
+    h = _hashes(data)
+    low = np.uint64(POSITION_BITS)
+    key = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
+    width, k, least = LENGTH - GRAM + 1, 1, key
+    while 2 * k <= width:
+        least = np.minimum(least[:-k], least[k:])
+        k *= 2
+    if k < width:
+        least = np.minimum(least[: k - width], least[width - k :])
+    return (least & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64), h
+
+
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """text's place, gram hash, position, and first and last window start of each run of windows with one anchor; by text and position."""
+    found: list[tuple[np.ndarray, ...]] = []
+
+    def add(run: np.ndarray, places: np.ndarray, begins: np.ndarray, shift: int) -> None:
+        """run: the bytes of some texts in a row, of places ``places``, that begin at ``begins``."""
+        if len(run) < LENGTH:
+            return
+        at, h = _nearest(run)
+        ends = np.r_[begins[1:], len(run)]
+        text = np.searchsorted(begins, np.arange(len(at)), side="right") - 1
+        inside = np.flatnonzero(np.arange(len(at)) + LENGTH <= ends[text])
+        if not len(inside):
+            return
+        anchor = at[inside]
+        turn = (anchor[1:] != anchor[:-1]) | (np.diff(inside) > 1)
+        first, last = inside[np.r_[True, turn]], inside[np.r_[turn, True]]
+        which, anchor = text[first], at[first]
+        base = begins[which] - shift
+        found.append((places[which], h[anchor], anchor - base, first - base, last - base))
+
+    k = 0
+    while k < len(texts):
+        if len(texts[k]) > TOGETHER:
+            data = np.frombuffer(texts[k], np.uint8)
+            for start in range(0, max(1, len(data) - LENGTH + 1), SEGMENT):
+                add(data[start : start + SEGMENT + LENGTH - 1], np.array([k]), np.array([0]), start)
+            k += 1
+            continue
+        more, size = k, 0
+        while more < len(texts) and size + len(texts[more]) <= TOGETHER:
+            size += len(texts[more])
+            more += 1
+        sizes = np.fromiter(map(len, texts[k:more]), np.int64, more - k)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            add(np.frombuffer(b"".join(texts[k:more]), np.uint8), some + k, (np.cumsum(sizes) - sizes)[some], 0)
+        k = more
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none.astype(np.uint64), none, none, none)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,90 +129,80 @@ def _bytes(text: str | None) -> bytes:
 def _grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            found = [anchors(np.frombuffer(_bytes(t), np.uint8))[0] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+            gram = anchors([_bytes(t) for t in batch.column(0).to_pylist()])[1]
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], ["gram"])
 
     return docs.select("text").mapInArrow(run, "gram long")
 
 
-def _filter(repeated: DataFrame) -> np.ndarray:
-    """A bit for the hash of each repeated gram; at most FILTER_BITS bits, made in pieces by the executors."""
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, int(8 * repeated.count()).bit_length()))
-
-    def build(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = np.zeros(bits // PIECES, bool)
-        for batch in batches:
-            cell = batch.column("gram").to_numpy().view(np.uint64) % np.uint64(bits)
-            mine[(cell // np.uint64(PIECES)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(mine).tobytes()], pa.binary())], ["piece", "bits"])
-
-    # The last bits of a gram's hash say its piece, so pieces are even however the grams are spread.
-    keyed = repeated.select("gram", F.col("gram").bitwiseAND(F.lit(PIECES - 1)).cast("int").alias("piece"))
-    out = np.zeros((bits // PIECES, PIECES), bool)
-    for row in keyed.groupBy("piece").applyInArrow(build, "piece int, bits binary").collect():
-        out[:, row["piece"]] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    return np.packbits(out.reshape(-1))
-
-
-def candidates(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def candidates(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, ...]:
     """Those anchors() whose gram is in the filter."""
-    gram, at, lo, hi = anchors(np.frombuffer(data, np.uint8))
-    cell = gram % np.uint64(8 * len(table))
-    some = (table[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return gram[some], at[some], lo[some], hi[some]
+    every = anchors(texts)
+    some = np.flatnonzero(may_hold(table, every[1]))
+    return tuple(x[some] for x in every)
 
 
-def _entries(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(gram, context, doc, at, lo, hi): anchors whose gram may repeat. at: th (high), position (low)."""
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+def _entries(docs: DataFrame, sent: Broadcast) -> DataFrame:
+    """(head, gram, context, doc, at, lo, hi): anchors whose gram may repeat. at: th (high), position (low)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
         for batch in _slices(batches):
-            columns = [[] for _ in range(5)]
-            contexts = []
-            for doc, th, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                data = _bytes(text)
-                gram, at, lo, hi = candidates(data, table)
-                for column, values in zip(columns, (gram.view(np.int64), np.full(len(at), doc), at + (th << 32), lo, hi)):
-                    column.append(values)
-                contexts += [xxhash.xxh3_64_intdigest(data[a : b + LENGTH], c - a) for a, b, c in zip(lo.tolist(), hi.tolist(), at.tolist())]
-            gram, doc, at, lo, hi = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
-            arrays = [pa.array(gram), pa.array(np.array(contexts, np.uint64).view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(at), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "context", "doc", "at", "lo", "hi"])
+            texts = [_bytes(t) for t in batch.column(2).to_pylist()]
+            text, gram, at, lo, hi = candidates(texts, table)
+            rows = list(zip(text.tolist(), lo.tolist(), hi.tolist(), at.tolist()))
+            contexts = [xxhash.xxh3_64_intdigest(texts[k][a : b + LENGTH], c - a) for k, a, b, c in rows]
+            # Big-endian with the first bit turned, so that numbers are in the order of bytes.
+            heads = np.frombuffer(b"".join([texts[k][c : c + 8] for k, _, _, c in rows]), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+            doc, th = batch.column(0).to_numpy()[text], batch.column(1).to_numpy()[text]
+            arrays = [heads.view(np.int64), gram.view(np.int64), np.array(contexts, np.uint64).view(np.int64), doc, at + (th << 32), lo.astype(np.int32), hi.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), [*ENTRY, *OWNER])
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "gram long, context long, doc long, at long, lo int, hi int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "head long, gram long, context long, doc long, at long, lo int, hi int")
 
 
 OWNER = ["doc", "at", "lo", "hi"]
 
 
 class SuffixIndex:
-    """Levels of (gram, context, owner), each with its size in batches; no entry is in two. Documents have to come in order."""
+    """Levels of entries with their owners, each with its size in batches; no entry is in two. Documents have to come in order."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[tuple[int, str]] = []
 
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
+    def level(self, rows: DataFrame) -> str:
+        """Entries written as one sorted run a bucket."""
+        name = f"suffix_level_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, *ENTRY).sortBy(*ENTRY).saveAsTable(name)
+        return name
 
     def insert(self, batch: DataFrame) -> None:
         """Add the suffix array of a batch's entries, without what the levels own."""
         array = batch.groupBy(*ENTRY).agg(F.min(F.struct(*OWNER)).alias("owner"))
-        for _, level in self.levels:
-            array = array.join(level.select(*ENTRY), ENTRY, "left_anti")
-        new = (1, written(array, "suffix-level"))
-        while self.levels and self.levels[-1][0] == new[0]:
-            size, level = self.levels.pop()
-            merged = written(level.unionByName(new[1]), "suffix-level")
-            release(level, new[1])
-            new = (size + new[0], merged)
-        self.levels.append(new)
+        for _, name in self.levels:
+            array = array.join(self.spark.table(name).select(*ENTRY).hint("merge"), ENTRY, "left_anti")
+        size, name = 1, self.level(array)
+        while self.levels and self.levels[-1][0] == size:
+            _, other = self.levels.pop()
+            one, two = self.spark.table(other).hint("merge"), self.spark.table(name).withColumnRenamed("owner", "second")
+            merged = self.level(one.join(two, ENTRY, "full").select(*ENTRY, F.coalesce("owner", "second").alias("owner")))
+            self.drop(other, name)
+            size, name = 2 * size, merged
+        self.levels.append((size, name))
 
     def owners(self) -> DataFrame:
         """Each entry's first owner."""
-        every = self.levels[0][1]
-        for _, level in self.levels[1:]:
-            every = every.unionByName(level)
+        every = self.spark.table(self.levels[0][1])
+        for _, name in self.levels[1:]:
+            every = every.unionByName(self.spark.table(name))
         return every.select("gram", "owner.*")
 
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
     """(doc, th, lo, hi): windows of first owners that another first owner with the same gram has earlier."""
@@ -186,9 +211,7 @@ def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
     # Copies of a whole context are settled; only grams with several contexts are doubtful.
     doubtful = owners.join(several, "gram", "left_semi")
     asked = written(doubtful.groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-asked")
-    ids = asked.select("doc").distinct()
-    texts = docs.join(F.broadcast(ids), "doc", "left_semi") if asked.count() <= BROADCAST_IDS else docs
-    texts = texts.select("doc", "th", "text").join(asked, ["doc", "th"])
+    texts = docs.select("doc", "th", "text").join(asked, ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -214,30 +237,31 @@ def dedup(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_
     unique = rows.groupBy("doc").count().where("count > 1").isEmpty()
     rows = rows.withColumn("th", F.lit(0).cast("long") if unique else F.shiftrightunsigned(F.crc32(F.coalesce(F.col("text"), F.lit(""))), 1))
     repeated = written(_grams(rows).groupBy("gram").count().where("count > 1").select("gram"), "suffix-grams")
-    bits = _filter(repeated)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, repeated.count()))
     release(repeated)
-    kept_entries = written(_entries(rows, bits), "suffix-entries")
     cuts = rows.where(F.col("doc") < LAST).agg(*[F.percentile_approx("doc", k / batches, 1000).alias(f"c{k}") for k in range(1, batches)], F.count(F.lit(1))).first()
     batch = sum(((F.col("doc") > F.lit(cuts[k] if cuts[k] is not None else 0)).cast("int") for k in range(batches - 1)), F.lit(0))
-    entries = kept_entries.withColumn("batch", batch)
-    index = SuffixIndex()
+    entries = written(_entries(rows, sent).withColumn("batch", batch), "suffix-entries", "batch")
+    index = SuffixIndex(docs.sparkSession)
     for k in range(batches):
-        index.insert(entries.where(F.col("batch") == k))
-    release(kept_entries)
+        index.insert(entries.where(F.col("batch") == k).drop("batch"))
+    release(entries)
     told = _windows(rows, index)
     owned = index.owners().groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("owned"))
     marks = written(owned.join(told, ["doc", "th"], "full"), "suffix-marks")
-    release(told, *(level for _, level in index.levels))
+    release(told)
+    index.drop(*(name for _, name in index.levels))
     joined = rows.join(marks, ["doc", "th"], "left").select("id", "text", "owned", "runs", "kept")
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             out = []
-            for text, owned, runs, kept in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-                data = _bytes(text)
-                _, at, lo, hi = candidates(data, sent.value)
+            texts = [_bytes(t) for t in batch.column(1).to_pylist()]
+            text, _, *runs_of = candidates(texts, sent.value)
+            cuts = np.searchsorted(text, np.arange(1, len(texts)))
+            of_text = zip(*(np.split(x, cuts) for x in runs_of))
+            for data, (at, lo, hi), owned, runs, kept in zip(texts, of_text, *(batch.column(k).to_pylist() for k in range(2, 5))):
                 lost = ~np.isin(at, owned or [])
                 if not lost.any() and not runs:
                     out.append((data, len(data), []))

@@ -137,6 +137,33 @@ def test_substrings(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_suffix_levels(spark, monkeypatch):
+    """Levels after each insertion, and overlaps that only older levels know."""
+    sizes = []
+    insert = substring_dedup.SuffixIndex.insert
+
+    def watched(self, batch):
+        insert(self, batch)
+        sizes.append([size for size, _ in self.levels])
+
+    monkeypatch.setattr(substring_dedup.SuffixIndex, "insert", watched)
+    parts = [text_of(*range(k * 40, k * 40 + 40)) for k in range(5)]
+    docs = [(k, f"{k} " + parts[k % 5][k:] + parts[(k * 2 + 1) % 5][: 130 + k] + "é" * k) for k in range(24)]
+    docs += [(24, parts[0] * 700), (25, None), (25, parts[1]), (26, parts[1] + "x"), (26, parts[2])]
+    got = {(r.doc_id, bytes(r.kept)) for r in substring_dedup.dedup(spark.createDataFrame(docs, DOCS)).where("doc_id < 25").collect()}
+    assert got == {(d, k) for d, k in without_repeats(docs[:25]).items()}
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1], [8]]
+
+
+def test_anchors_together_and_alone():
+    texts = [b"", b"x" * 99, *(text_of(*range(k, k + 30 * k)).encode() for k in range(12)), b"y" * 250]
+    together = substring_dedup.anchors(texts)
+    alone = [substring_dedup.anchors([t]) for t in texts]
+    for k, mine in enumerate(alone):
+        held = together[0] == k
+        assert all((x[held] == y).all() for x, y in zip(together[1:], mine[1:]))
+
+
 def test_leaks(spark):
     items = [(1, "If Anna buys 12 apples for 3 dollars each, how much does Anna pay in total?"), (2, "short"), (3, None), (4, "alpha beta gamma delta epsilon zeta eta theta iota kappa")]
     changed = "Well. If Berta buys 25 apples for 7 euros each, how much does Berta pay in total? Yes."
