@@ -63,6 +63,37 @@ SELECT project_id, relative_path, content, octet_length({bytes2}) AS byte_size F
 ) AS files
 """
 
+
+def _java(name: str, *lines: str, folder: str = "java/demo", suffix: str = "java") -> tuple[str, str]:
+    """Path and text of a file of part ``~``, as SQL; a line that begins with ?m: is there for keys divisible by m."""
+    parts = []
+    for line in lines:
+        often, _, rest = line.partition(":") if line.startswith("?") else ("", "", line)
+        text = "'" + rest.replace("~", "' || k || '") + "' || nl"
+        parts.append(f"CASE WHEN n % {often[1:]} = 0 THEN {text} ELSE '' END" if often else text)
+    return "'/src/main/" + folder + "/" + name.replace("~", "' || k || '") + "." + suffix + "'", " || ".join(parts)
+
+
+#: Typed code of a part: constructor injection, an interface with one or two implementations, inherited persistence, a remote client.
+JAVA_FILES = [
+    _java("Item~Controller", "package demo.web;", "@RestController", '@RequestMapping("/api/item~")', "public class Item~Controller {", "  private final Item~Service service;", "  private final Remote~Client client;",
+          "  public Item~Controller(Item~Service service, Remote~Client client) { this.service = service; this.client = client; }", '  @PostMapping("/create")', "  public String create(@RequestBody Item~Request r) {",
+          "    return service.create(r);", "  }", '  @RequestMapping(value = "/{id}", method = RequestMethod.GET)', "  public Item~ one(@PathVariable Long id) {", "    // service.gone(id);", '    client.check(id, "a,b");',
+          "    return service.getById(id);", "  }", "?3:  @DeleteMapping", "?3:  public void wipe() {", "?3:    this.one(1L); service.missing();", "?3:  }", "}"),
+    _java("Item~Service", "package demo;", "public interface Item~Service extends IService<Item~> {", "  String create(Item~Request r);", "}"),
+    _java("Item~ServiceImpl", "package demo;", "@Service", "public class Item~ServiceImpl extends ServiceImpl<Item~Mapper, Item~> implements Item~Service {", "  @Override", "  public String create(Item~Request r) {",
+          '    baseMapper.insertItem(r, "x");', "    this.updateById(new Item~());", '    return "ok";', "  }", "}"),
+    _java("Item~AltService", "?4:package demo;", "?4:@Service", "?4:public class Item~AltService implements Item~Service {", '?4:  public String create(Item~Request r) { return "alt"; }', "?4:}"),
+    _java("Item~Mapper", "package demo;", "@Mapper", "public interface Item~Mapper extends BaseMapper<Item~> {", '  int insertItem(@Param("r") Item~Request r, String note);', '  @Select({"select name ", "from item~ where id = #{id}"})', "  String name(Long id);", "}"),
+    _java("Remote~Client", "package demo;", '@FeignClient(name = "remote")', "public interface Remote~Client {", "  String check(Long id, String code);", "}"),
+    _java("Item~", "package demo;", '@TableName("t_item~")', "public class Item~ {", "  private Long id;", "}"),
+    _java("Item~Request", "package demo;", "public class Item~Request {", "}"),
+    _java("Item~Mapper", '<mapper namespace="demo.Item~Mapper">', '<insert id="insertItem">insert into item~ (name) values (#{r.name}, #{gone})</insert>', "</mapper>", folder="resources/mapper", suffix="xml"),
+    _java("Bare~", "package demo;", "public class Bare~ extends ServiceImpl<Item~Mapper, OrderLine~> {", "  public long all() {", "    return this.count();", "  }", "}"),
+]
+_EACH = "SELECT 'p' || cast(p_partkey % 20 AS string) AS project_id, 'svc' || cast(p_partkey % 40 AS string) AS svc, cast(p_partkey AS string) AS k, p_partkey AS n, chr(10) AS nl FROM part"
+RAW_JAVA = " UNION ALL ".join(f"SELECT project_id, svc || {path} AS relative_path, {text} AS content FROM ({_EACH}) AS e" for path, text in JAVA_FILES)
+
 #: A finding of the events table. Texts follow the event's number, so that each rule meets some.
 _WORDS = [
     "hashmap 线程安全", "sql injection in query", "没有过期 cache", "缺少事务", "多个服务共享同一数据库", "直接返回实体", "返回未使用字段", "路径参数未校验",

@@ -47,8 +47,8 @@ def _apis(spark, sf_dir):
     return relate.api_nodes(facts.extract_api_calls(code(spark, sf_dir)))
 
 
-@register("x12_extract_endpoints", f"SELECT * FROM {_ENDS} AS e")
-def x12(spark, sf_dir):
+@register("x1_normalized_routes", f"SELECT * FROM {_ENDS} AS e")
+def x1_nodes(spark, sf_dir):
     return _ends(spark, sf_dir)
 
 
@@ -143,16 +143,16 @@ def o3(spark, sf_dir):
     return relate.enclosing_project_edges(relations, relations.where("seq % 5 = 0"))
 
 
-# nation -> customer -> orders -> part -> orders of the same key: layers, hubs and cycles.
+# nation -> customer -> orders -> part -> orders of the same key: layers, hubs and cycles, and edges that aren't walked.
 _WALK_EDGES = """
-SELECT 'w' AS project_id, 'nation' || cast(n_nationkey AS string) AS source, 'customer' || cast(c_custkey AS string) AS target FROM nation JOIN customer ON n_nationkey = c_nationkey
-UNION ALL SELECT 'w', 'customer' || cast(o_custkey AS string), 'order' || cast(o_orderkey AS string) FROM orders
-UNION ALL SELECT 'w', 'order' || cast(l_orderkey AS string), 'part' || cast(l_partkey AS string) FROM lineitem
-UNION ALL SELECT 'w', 'part' || cast(p_partkey AS string), 'order' || cast(p_partkey AS string) FROM part
+SELECT 'w' AS project_id, 'nation' || cast(n_nationkey AS string) AS source, 'customer' || cast(c_custkey AS string) AS target, 'routes_to' AS kind, true AS model_fact FROM nation JOIN customer ON n_nationkey = c_nationkey
+UNION ALL SELECT 'w', 'customer' || cast(o_custkey AS string), 'order' || cast(o_orderkey AS string), 'invokes', true FROM orders
+UNION ALL SELECT 'w', 'order' || cast(l_orderkey AS string), 'part' || cast(l_partkey AS string), 'reads_table', l_linenumber <> 5 FROM lineitem
+UNION ALL SELECT 'w', 'part' || cast(p_partkey AS string), 'order' || cast(p_partkey AS string), CASE WHEN p_partkey % 5 = 0 THEN 'initiates' ELSE 'maps_to_sql' END, true FROM part
 """
 _STARTS = "SELECT 'w' AS project_id, 'nation' || cast(n_nationkey AS string) AS start FROM nation UNION ALL SELECT 'w', 'part' || cast(p_partkey AS string) FROM part"
 _G1 = f"""
-WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT project_id, source, target FROM ({_WALK_EDGES}) AS x), w AS (
+WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT project_id, source, target FROM ({_WALK_EDGES}) AS x WHERE model_fact AND kind <> 'initiates'), w AS (
   SELECT project_id, start, start AS node_id, 0 AS depth FROM ({_STARTS}) AS s
   UNION SELECT w.project_id, start, target, depth + 1 FROM w JOIN e ON e.project_id = w.project_id AND e.source = w.node_id WHERE depth < 8
 ) SELECT project_id, start, node_id, min(depth) AS depth FROM w GROUP BY ALL

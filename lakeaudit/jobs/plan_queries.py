@@ -22,14 +22,22 @@ def w8(spark, sf_dir):
     return plan.first_n(prose(spark, sf_dir), 3, ["project_id", "language"], [F.col("relative_path")]).select(*KEYS)
 
 
-@register("x21_number_lines", f"SELECT project_id, relative_path, i::INT AS line, lpad(i::VARCHAR, greatest(4, length(i::VARCHAR))::INT, ' ') || ': ' || lines[i] AS text FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT project_id, relative_path, string_split(content, chr(10)) AS lines FROM {PROSE} AS f) AS a) AS b")
+_ENDINGS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_LINES = f"(SELECT project_id, relative_path, CASE WHEN every[-1] = '' THEN every[1:-2] ELSE every END AS lines FROM (SELECT project_id, relative_path, string_split_regex(content, '{_ENDINGS}') AS every FROM {PROSE} AS f) AS e)"
+
+
+@register("x21_number_lines", f"SELECT project_id, relative_path, i::INT AS line, lpad(i::VARCHAR, greatest(4, length(i::VARCHAR))::INT, ' ') || ': ' || lines[i] AS text FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM {_LINES} AS a) AS b")
 def x21(spark, sf_dir):
     return plan.number_lines(prose(spark, sf_dir))
 
 
-@register("t3_clip_source", f"SELECT project_id, relative_path, CASE WHEN len(lines) > 10 THEN array_to_string(lines[1:10], chr(10)) || chr(10) || '... (truncated)' ELSE array_to_string(lines, chr(10)) END AS clipped FROM (SELECT project_id, relative_path, string_split(content, chr(10)) AS lines FROM {PROSE} AS f) AS a")
+def _clipped(n: int) -> str:
+    return f"array_to_string(lines[1:{n}], chr(10)) || CASE WHEN len(lines) > {n} THEN '{plan.LEFT_OUT}' ELSE '' END"
+
+
+@register("t3_clip_source", f"SELECT project_id, relative_path, {_clipped(plan.TARGET_LINES)} AS target, {_clipped(plan.RELATED_LINES)} AS related FROM {_LINES} AS a")
 def t3(spark, sf_dir):
-    return prose(spark, sf_dir).select(*KEYS, plan.clip_source("content", 10).alias("clipped"))
+    return prose(spark, sf_dir).select(*KEYS, plan.clip_source("content", plan.TARGET_LINES).alias("target"), plan.clip_source("content", plan.RELATED_LINES).alias("related"))
 
 
 @register("a10_estimate_tokens", f"""

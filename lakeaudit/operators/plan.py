@@ -25,16 +25,27 @@ def batch_files(files: DataFrame, size: int = BATCH) -> DataFrame:
     return numbered.groupBy("project_id", "task").agg(paths.alias("paths")).withColumn("priority", F.col("task") + 70)
 
 
+# What ends a line, and what stands for lines that are left out.
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+LEFT_OUT = "\n...（该文件其余内容未提供）"
+
+
+def lines(content: Column | str) -> Column:
+    """A text's lines; none after a final line end, and none of an empty text."""
+    every = F.split(content, LINE_END)
+    return F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+
+
 def number_lines(files: DataFrame) -> DataFrame:
     """(KEYS, line, text): each line with its number from 1 in four places."""
-    each = files.select(*KEYS, F.posexplode(F.split("content", "\n")).alias("pos", "text"))
+    each = files.select(*KEYS, F.posexplode(lines("content")).alias("pos", "text"))
     return each.select(*KEYS, (F.col("pos") + 1).alias("line"), F.format_string("%4d: %s", F.col("pos") + 1, F.col("text")).alias("text"))
 
 
-def clip_source(content: Column | str, lines: int) -> Column:
-    """The first ``lines`` lines of a text, and a mark if there are more."""
-    every = F.split(content, "\n")
-    return F.when(F.size(every) > lines, F.concat(F.array_join(F.slice(every, 1, lines), "\n"), F.lit("\n... (truncated)"))).otherwise(F.array_join(every, "\n"))
+def clip_source(content: Column | str, most: int) -> Column:
+    """The first ``most`` lines of a text, and a mark if there are more."""
+    every = lines(content)
+    return F.concat(F.array_join(F.slice(every, 1, most), "\n"), F.when(F.size(every) > most, LEFT_OUT).otherwise(""))
 
 
 def estimate_tokens(tasks: DataFrame, prompt_chars: int, verifier_chars: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -129,11 +129,6 @@ def enclosing_project_edges(relations: DataFrame, known: DataFrame) -> DataFrame
     return fresh.join(known.select(*columns).distinct(), columns, "left_anti")
 
 
-def nth(order: list[Column], *keys: str) -> Column:
-    """Place of a row within its keys, from 1."""
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-
-
 def file_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence nodes (project_id, node_id, kind, name) and edges (project_id, source, target, kind, confidence) at file level.
 
@@ -149,7 +144,7 @@ def file_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def edge(frame: DataFrame, source: Column, target: Column, kind: Column | str) -> DataFrame:
         kind = F.lit(kind) if isinstance(kind, str) else kind
-        return frame.select("project_id", source.alias("source"), target.alias("target"), kind.alias("kind"), F.lit("high").alias("confidence")).distinct()
+        return frame.select("project_id", source.alias("source"), target.alias("target"), kind.alias("kind"), F.lit("high").alias("confidence"), F.lit(True).alias("model_fact")).distinct()
 
     def file_id(col: str) -> Column:
         return F.concat(F.lit("file:"), F.col(col))

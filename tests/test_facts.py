@@ -74,7 +74,9 @@ def test_edges_and_walk(spark):
     edges = spark.createDataFrame([("p", "a", "b", "invokes", "medium", True, 1), ("p", "a", "b", "invokes", "high", True, 2), ("p", "b", "a", "invokes", "high", True, 3), ("p", "b", "c", "invokes", "low", False, 4)], "project_id string, source string, target string, kind string, confidence string, model_fact boolean, seq long")
     assert {(r.source, r.target, r.confidence) for r in graph.dedup_edges(edges).collect()} == {("a", "b", "high"), ("b", "a", "high"), ("b", "c", "low")}
     starts = spark.createDataFrame([("p", "a")], "project_id string, start string")
-    assert {(r.node_id, r.depth) for r in graph.walk(starts, edges).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    assert {(r.node_id, r.depth) for r in graph.walk(starts, edges).collect()} == {("a", 0), ("b", 1)}
+    other = edges.withColumn("kind", F.lit("initiates")).withColumn("model_fact", F.lit(True))
+    assert graph.walk(starts, other).count() == 1
 
 
 def test_governance(spark):
