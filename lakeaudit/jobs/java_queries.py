@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import facts, java
+from ..operators import chains, facts, java
 from ..sources.files import files_from_table
 from ..sources.shared import written
 from .bindings import RAW_JAVA, bound
@@ -251,8 +251,8 @@ _XML = "replace(base, 'java/demo/', 'resources/mapper/') || item || 'Mapper.xml'
 
 
 @register("j10_map_mapper_to_sql", rows(
-    (f"'mapper:' || {_MAPPER} || ':4:' || item || 'Mapper.insertItem'", f"'sql:' || {_XML} || ':2:insertItem'", "'high'"),
-    (f"'mapper:' || {_MAPPER} || ':4:' || item || 'Mapper.name'", f"'sql:' || {_MAPPER} || ':4:' || item || 'Mapper.name'", "'high'"), columns="source target confidence",
+    (f"'mapper:' || {_MAPPER} || ':4:' || item || 'Mapper.insertItem'", f"'sql:' || {_XML} || ':2:demo.' || item || 'Mapper.insertItem'", "'high'"),
+    (f"'mapper:' || {_MAPPER} || ':4:' || item || 'Mapper.name'", f"'sql:' || {_MAPPER} || ':4:' || item || 'Mapper.name.annotation'", "'high'"), columns="source target confidence",
 ))
 def j10(spark, sf_dir):
     return java.map_mapper_to_sql(_declared(spark, sf_dir), facts.extract_xml_sql(files(spark, sf_dir)))
@@ -262,3 +262,40 @@ def j10(spark, sf_dir):
 def j11(spark, sf_dir):
     found = java.binding_gaps(_declared(spark, sf_dir), facts.extract_xml_sql(files(spark, sf_dir)))
     return found.withColumn("gaps", F.array_join("gaps", ","))
+
+
+_CHAIN = f"""(SELECT *, 'springvue.http.' || CASE WHEN place < 1000 THEN lpad(place::VARCHAR, 3, '0') ELSE place::VARCHAR END AS chain_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY relative_path, line) AS place,
+    CASE WHEN method = 'DELETE' THEN 'partial' WHEN method = 'POST' AND n % 4 = 0 THEN 'needs_confirmation' ELSE 'complete' END AS status FROM ({_ROUTED.replace("SELECT project_id,", "SELECT project_id, n,")}) AS r) AS s)"""
+
+
+def _chains(spark, sf_dir):
+    held = chains.evidence(files(spark, sf_dir))
+    found, matched = chains.chains(held)
+    return written(found, "chain-found"), matched, held
+
+
+@register("a7_method_chains", f"SELECT project_id, chain_id, method || ' ' || normalized_url AS name, status, CASE WHEN method = 'DELETE' THEN '{chains.UNRESOLVED}service.missing(...)' ELSE '' END AS gaps FROM {_CHAIN} AS c")
+def a7_methods(spark, sf_dir):
+    return _chains(spark, sf_dir)[0].select("project_id", "chain_id", "name", "status", F.array_join("gaps", "|").alias("gaps"))
+
+
+@register("a8_chain_risk", f"""
+SELECT project_id, chain_id, CASE method WHEN 'POST' THEN 100 WHEN 'DELETE' THEN 30 ELSE 0 END AS risk_score,
+  CASE method WHEN 'POST' THEN '写接口|数据库写操作|更新或删除未发现 WHERE|SQL 参数与 Mapper 参数不一致' WHEN 'DELETE' THEN '写接口' ELSE '' END AS risk_reasons FROM {_CHAIN} AS c
+""")
+def a8_chains(spark, sf_dir):
+    return _chains(spark, sf_dir)[0].select("project_id", "chain_id", "risk_score", F.array_join("risk_reasons", "|").alias("risk_reasons"))
+
+
+@register("a5_method_chain_summary", f"""
+SELECT *, round((frontend_call_count - unmatched_frontend_count) / frontend_call_count, 4) AS frontend_match_rate, round(resolved_controller_business_call_count / controller_business_call_count, 4) AS controller_business_resolution_rate,
+  1.0::DOUBLE AS service_persistence_resolution_rate
+FROM (SELECT project_id, count(*) AS endpoint_count, count(*) FILTER (status = 'complete') AS complete_count, count(*) FILTER (status = 'partial') AS partial_count,
+    count(*) FILTER (status = 'needs_confirmation') AS needs_confirmation_count, count(*) FILTER (method <> 'POST') AS unmatched_endpoint_count FROM {_CHAIN} AS c GROUP BY project_id) AS a
+  JOIN (SELECT project_id, count(*) + count(*) FILTER (n % 10 = 0) AS frontend_call_count, count(*) FILTER (n % 10 = 0) AS unmatched_frontend_count FROM {_PART} GROUP BY project_id) AS b USING (project_id)
+  JOIN (SELECT project_id, count(*) FILTER (business) AS controller_business_call_count, count(*) FILTER (business AND method <> 'missing') AS resolved_controller_business_call_count,
+    count(*) FILTER (persistence) AS service_persistence_call_count, count(*) FILTER (persistence) AS resolved_service_persistence_call_count FROM ({_CALLS}) AS c GROUP BY project_id) AS d USING (project_id)
+""")
+def a5_methods(spark, sf_dir):
+    return chains.summary(*_chains(spark, sf_dir))
