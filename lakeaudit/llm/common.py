@@ -40,8 +40,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path that driver and executors share: below ``spark.checkpoint.dir``, or, where that is unset, the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path that driver and executors share: below ``spark.checkpoint.dir``, or, on one machine where that is unset, the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

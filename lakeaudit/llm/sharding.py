@@ -54,7 +54,8 @@ def place(df: DataFrame, shards: Sequence[str], key: str = "doc_id", table_size:
     """``df`` with ``slot`` (int) and ``shard`` (name).
 
     The table has ``table_size`` rows whatever the data, so it is broadcast: no shuffle, and no row
-    waits for another. A null key hashes like any value. Input columns named slot or shard are replaced.
+    waits for another. A null key hashes like any value, an empty one too, and equal keys share a slot. Input
+    columns named slot or shard are replaced; an empty table stays empty.
     """
     spark = df.sparkSession
     owner = lookup_table(shards, table_size)

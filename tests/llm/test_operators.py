@@ -1,6 +1,7 @@
 """Small cases with nulls, empty texts, ties and repeated rows, and brute force for what SQL can't say."""
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -33,6 +34,27 @@ def test_sharding(spark):
         sharding.lookup_table(shards, 100)
 
 
+def test_sharding_by_whole_permutations(spark):
+    """Brute force: every shard's permutation spelled out, and turns taken over lists."""
+    shards, size = [f"node-{k}" for k in range(9)], 211
+    wishes = {}
+    for name in shards:
+        digest = hashlib.sha256(name.encode()).digest()
+        start, skip = int.from_bytes(digest[:8], "big") % size, int.from_bytes(digest[8:16], "big") % (size - 1) + 1
+        wishes[name] = [(start + j * skip) % size for j in range(size)]
+        assert sorted(wishes[name]) == list(range(size))
+    owner = {}
+    while len(owner) < size:
+        for name in sorted(shards):
+            if len(owner) < size:
+                owner[next(x for x in wishes[name] if x not in owner)] = name
+    assert [shards[k] for k in sharding.lookup_table(shards, size)] == [owner[x] for x in range(size)]
+    df = spark.createDataFrame([(None, "x"), (None, "x"), (5, ""), (5, "")], "doc_id long, slot string")
+    placed = sharding.place(df, shards, table_size=size)
+    assert {r.shard == owner[r.slot] for r in placed.collect()} == {True} and placed.select("doc_id", "slot").distinct().count() == 2
+    assert sharding.place(df.limit(0), shards, table_size=size).count() == 0
+
+
 def test_urls(spark):
     rows = [(k, f"http://a{k}.net/x/{k}") for k in range(30)] + [(30 + k, f"https://good.example.net/en/{k}") for k in range(30)]
     rows += [(90, None), (91, ""), (92, "no scheme"), (93, "http://other.io/x/5"), (93, "http://other.io/x/5"), (94, "HTTP://A.NET?x")]
@@ -187,6 +209,14 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.predict(df, none).collect()} == {"und"}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = language_id.predict(docs, language_id.fit(docs)).where(language_id.held_out("doc_id"))
+    joined = found.join(docs.select("doc_id", "lang", "text").dropDuplicates(["doc_id"]), "doc_id").where("lang is not null and lang_pred <> 'und'").collect()
+    assert len(joined) > 100 and np.mean([r.lang == r.lang_pred for r in joined]) >= 0.95
+
+
 def test_quality(spark):
     rng = np.random.default_rng(1)
     syllables = ["ta", "ri", "mo", "len", "su", "vek", "ol", "in"]
