@@ -93,3 +93,16 @@ def test_governance(spark):
 def test_scalars(spark):
     row = spark.range(1).select(T.normalize_url(F.lit(" https://h/a//:id/{x}/?q=1")).alias("u"), T.join_url(F.lit("/a/"), F.lit("/b")).alias("j"), T.snake_case(F.lit("OrderItem")).alias("s"), T.normalize_type(F.lit("java.util.List<A<B>>[]")).alias("t")).first()
     assert (row.u, row.j, row.s, row.t) == ("/a/{}/{}", "/a/b", "order_item", "List")
+
+
+def test_lines_around_findings(spark):
+    body = "class A {\n public void f() {\n  repo.save\n(x);\n  if (x) { repo.update(y); }\n }\n  repo.delete(z);\n void g() { repo.remove(1); }\n}\n"
+    long = " public void h() {\n" + "  repo.save(1);\n" * 200 + " }"
+    rows = [("p", "A.java", "java", body), ("p", "B.java", "java", ""), ("p", "C.java", "java", long), ("p", "D.java", "java", "@RequestHeader(required = false)\n\n\n\n\n@RequestHeader\nint x;")]
+    files = spark.createDataFrame(rows, "project_id string, relative_path string, language string, content string")
+    asked = [(1, "A.java", 5), (2, "A.java", 9), (3, "A.java", 1), (4, "B.java", 1), (5, "C.java", 150), (6, "D.java", 7), (7, "D.java", 3), (8, "Gone.java", 1), (9, "A.java", None)]
+    schema = "project_id string, seq int, title string, category string, evidence string, trigger_path string, impact string, recommendation string, relative_path string, line int"
+    claims = spark.createDataFrame([("p", seq, "缺少事务 requestheader", "", "", "", "", "", path, line) for seq, path, line in asked], schema)
+    got = {r.seq: (r.header_required, r.n_writes) for r in findings.line_facts(claims, files).collect()}
+    # The last method of A has no modifier, so the one above stands for it; a method has 120 lines at most.
+    assert got == {1: (False, 2), 2: (False, 2), 3: (False, 4), 4: (False, 0), 5: (False, 119), 6: (True, 0), 7: (False, 0), 9: (False, 4)}
