@@ -57,13 +57,17 @@ SELECT project_id, relative_path, content, octet_length({bytes2}) AS byte_size F
       END AS content
     FROM (
       SELECT 'p' || cast(p_partkey % 20 AS string) AS project_id, cast(p_partkey AS string) AS k, p_partkey AS n, 'svc' || cast(p_partkey % 40 AS string) AS svc, chr(10) AS nl, f
-      FROM part CROSS JOIN (SELECT 0 AS f UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8) AS kinds
+      FROM part CROSS JOIN ({kinds}) AS kinds
     ) AS parts
   ) AS named
 ) AS files
 """
 
 
+KINDS = 9
+ALL_KINDS = "SELECT 0 AS f" + "".join(f" UNION ALL SELECT {k}" for k in range(1, KINDS))
+
+
 def _java(name: str, *lines: str, folder: str = "java/demo", suffix: str = "java") -> tuple[str, str]:
     """Path and text of a file of part ``~``, as SQL; a line that begins with ?m: is there for keys divisible by m."""
     parts = []
@@ -95,6 +99,23 @@ JAVA_FILES = [
 _EACH = "SELECT 'p' || cast(p_partkey % 20 AS string) AS project_id, 'svc' || cast(p_partkey % 40 AS string) AS svc, cast(p_partkey AS string) AS k, p_partkey AS n, chr(10) AS nl FROM part"
 RAW_JAVA = " UNION ALL ".join(f"SELECT project_id, svc || {path} AS relative_path, {text} AS content FROM ({_EACH}) AS e" for path, text in JAVA_FILES)
 
+#: Front-end code of a part: wrapped calls, folded URLs, a request object, one that is only known at run time, and a view.
+FRONT_FILES = [
+    _java("api~", 'import request from "@/request";', '// axios.get("/not/this");', "export function createItem~(d) {", '  return axios.post("/api/item~/create", d);', "}",
+          'export const one~ = (id) => request.get("/api/item~/" + id + "/part?full=1");', "export async function sync~(d) { return request({ url: `/api/item~/$' || '{id}`, method: \"put\", data: d }); }",
+          "?3:http.delete(base);", '?10:fetch("gone/item~");', folder="web/api", suffix="ts"),
+    _java("View~", "<template>", '<p v-html="body"></p>', "</template>", "<script>", "async function save() {", "  await createItem~(form);", "  one~ (7);", "}", "function idle() { return 1; }", "</script>", folder="web/views", suffix="vue"),
+]
+RAW_FRONT = " UNION ALL ".join(f"SELECT project_id, svc || {path} AS relative_path, {text} AS content FROM ({_EACH}) AS e" for path, text in FRONT_FILES)
+
+#: Review tasks of the findings' projects, one of three without a chain.
+TASKS = """
+SELECT DISTINCT 'q' || cast(user_id % 4 AS string) AS project_id, 't' || cast(event_id % 50 AS string) AS task_id, CASE WHEN event_id % 50 % 3 = 0 THEN 'layered' ELSE 'endpoint_chain' END AS kind,
+       'chain' || cast(event_id % 50 AS string) AS chain_id, CASE WHEN event_id % 50 % 7 = 0 THEN '' ELSE 'POST /t' || cast(event_id % 50 AS string) END AS endpoint, 'partial' AS proven_status, 'a -> b' AS chain_path,
+       CASE WHEN event_id % 50 % 2 = 0 THEN 'gap' ELSE '' END AS gap
+FROM events
+"""
+
 #: A finding of the events table. Texts follow the event's number, so that each rule meets some.
 _WORDS = [
     "hashmap 线程安全", "sql injection in query", "没有过期 cache", "缺少事务", "多个服务共享同一数据库", "直接返回实体", "返回未使用字段", "路径参数未校验",
@@ -136,7 +157,7 @@ FROM lineitem
 def _sql(text: str, engine: str) -> str:
     content = {"spark": "content", "duckdb": "encode(content)"}[engine]
     prose = {"spark": "coalesce(text, '')", "duckdb": "encode(coalesce(text, ''))"}[engine]
-    return text.replace("{bytes2}", content).replace("{bytes}", prose)
+    return text.replace("{kinds}", ALL_KINDS).replace("{bytes2}", content).replace("{bytes}", prose)
 
 
 def duck(text: str) -> str:

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import facts
 from ..sources.files import files_from_table
+from ..sources.shared import written
 from ..sources.tables import table
-from .bindings import RAW_CODE, RAW_PROSE, bound, duck
+from .bindings import KINDS, RAW_CODE, RAW_PROSE, bound, duck
 from .registry import ORACLES, QUERIES
 
 KEYS = facts.KEYS
 
 
 def code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The exchange keeps the optimizer from copying the long text expression into every use of content.
-    return files_from_table(bound(spark, sf_dir, RAW_CODE).repartition("project_id", "relative_path"))
+    """The templated code, written once: its readers scan it many times and would spell its texts out each time."""
+    # One branch a kind of file, so that each compiles only its own text expression.
+    kinds = [bound(spark, sf_dir, RAW_CODE.replace("{kinds}", f"SELECT {k} AS f")) for k in range(KINDS)]
+    return written(files_from_table(reduce(DataFrame.unionAll, kinds)), "code")
 
 
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
