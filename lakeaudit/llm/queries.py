@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard_join, language_id, line_index, quality, repetition, sharding, sql, substring_dedup, url_filter
+from . import bpe, decontaminate, hard_negatives, jaccard_join, language_id, line_index, quality, repetition, sharding, spelling, sql, substring_dedup, toxicity, url_filter
 from .common import table
 
 
@@ -77,6 +79,29 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("n_lines"), F.col("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+def misspelt(doc: str, run: str) -> str:
+    """One run in 31 of a document loses a letter, by its hash."""
+    h = crc32(f"{doc}:{run}".encode())
+    at = h % len(run)
+    return run if h % 31 else run[:at] + run[at + 1 :]
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), change=misspelt)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 LLM_QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_sharding_lookup_table": op2_sharding_lookup_table,
@@ -88,8 +113,13 @@ LLM_QUERIES = {
     "op8_url_language_model": op8_url_language_model,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe_encoding_decoding": op10_bpe_encoding_decoding,
+    "op11_hard_negative_mining": op11_hard_negative_mining,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_toxicity": op13_toxicity,
 }
 LLM_ORACLES: dict[str, str] = {
     "op8_url_language_model": sql.OP8,
     "op9_line_dedup": sql.OP9,
+    "op11_hard_negative_mining": sql.OP11,
+    "op12_spelling_variants": sql.OP12,
 }
