@@ -22,8 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Container, Iterator
+from collections.abc import Callable, Container, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, release, written
 from .linear import bounded_sample, ftrl
 
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3_000, 12_000
@@ -253,31 +252,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = float(np.log(share / (1 - share)))
     if len(n) < 2:
         return ToxicityModel(reader, {}, prior)
-    picked = [bounded_sample(known.where(F.col("toxic") == k), most, n[k], "id") for k, most in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE))]
-
-    def bags(of: DataFrame, used: frozenset[str] | None) -> DataFrame:
-        """The features of the sampled documents; the sample is bounded, so its ids may be broadcast."""
-        sent = rows.sparkSession.sparkContext.broadcast((reader, used))
+    toxic, clean = (bounded_sample(known.where(F.col("toxic") == k), most, n[k], "id") for k, most in ((1, TOXIC_SAMPLE), (0, CLEAN_SAMPLE)))
+    # At most as many ids as the samples have rows, so they may be broadcast.
+    sample = written(rows.join(F.broadcast(toxic.unionByName(clean)), "id").select("toxic", "text"), "labelled")
+    sampled = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if len(sampled) < 2:
+        release(sample)
+        return ToxicityModel(reader, {}, prior)
+    sent = rows.sparkSession.sparkContext.broadcast(reader)
 
+    def bags(column: dict[str, int] | None) -> Callable:
         def make():
-            tokens = Tokens(*sent.value)
+            tokens = Tokens(sent.value, column)
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array([sorted(tokens.of(t or "")) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], ["bag"])
+                found = [tokens.of(t or "") for t in batch.column(1).to_pylist()]
+                bag = pa.array([sorted(f) for f in found], pa.list_(pa.string())) if column is None else pa.array([sorted(column[f] for f in bag) for bag in found], pa.list_(pa.int32()))
+                return pa.RecordBatch.from_arrays([batch.column(0), bag], ["toxic", "bag"])
 
             return each
 
-        return map_rows(rows.join(F.broadcast(of.select("id")), "id").select("text"), make, "bag array<string>")
+        return make
 
-    toxic_counts = bags(picked[0], None).select(F.explode("bag").alias("feature")).groupBy("feature").count().where(F.col("count") >= LEAST).toArrow()
-    candidates = dict(zip(toxic_counts.column(0).to_pylist(), toxic_counts.column(1).to_pylist()))
-    toxic, clean = ([r["bag"] for r in bags(p, frozenset(candidates)).collect()] for p in picked)
-    if not toxic or not clean:
-        return ToxicityModel(reader, {}, prior)
-    among_clean = Counter(f for bag in clean for f in bag)
-    column = {f: k + 1 for k, f in enumerate(sorted(f for f, k in candidates.items() if k / len(toxic) >= TIMES * (among_clean[f] + 1) / len(clean)))}
-    held = [(label, sorted(f for f in bag if f in column)) for label, part in ((1, toxic), (0, clean)) for bag in part]
-    held.sort(key=lambda r: (crc32(" ".join(r[1]).encode()), r))
+    each_feature = map_rows(sample, bags(None), "toxic int, bag array<string>").select("toxic", F.explode("bag").alias("feature"))
+    by_class = each_feature.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
+    telling = by_class.where((F.col("toxic") >= LEAST) & (F.col("toxic") / sampled[1] >= TIMES * (F.col("clean") + 1) / sampled[0]))
+    column = {f: k + 1 for k, f in enumerate(sorted(telling.select("feature").toArrow().column(0).to_pylist()))}
+    marked = map_rows(sample, bags(column), "toxic int, bag array<int>").toArrow()
+    release(sample)
+    held = sorted(zip(marked.column(0).to_pylist(), marked.column(1).to_pylist()), key=lambda r: (crc32(repr(r[1]).encode()), r))
     # Parts of the marks of a document are examples too, so that each mark counts by itself.
     turn, examples, y = np.random.default_rng(0), [], []
     for label, bag in held:
@@ -286,11 +289,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if chosen_marks or not bag:
                 examples.append(chosen_marks)
                 y.append(label)
-    x = [(np.array([0, *(column[f] for f in bag)]), None) for bag in examples]
+    x = [(np.array([0, *bag]), None) for bag in examples]
     w = ftrl(x, np.eye(2)[y], len(column) + 1, epochs=4, alpha=0.5, l1=0.5, l2=0.02)
     w = w[:, 1] - w[:, 0]
     # From the sample's shares of the classes to those of all labels.
-    bias = float(w[0]) + prior - float(np.log(len(toxic) / len(clean)))
+    bias = float(w[0]) + prior - float(np.log(sampled[1] / sampled[0]))
     return ToxicityModel(reader, {f: float(w[k]) for f, k in column.items() if w[k]}, bias)
 
 
