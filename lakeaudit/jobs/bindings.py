@@ -94,7 +94,8 @@ JAVA_FILES = [
     _java("Item~Request", "package demo;", "public class Item~Request {", "}"),
     _java("Item~Mapper", '<mapper namespace="demo.Item~Mapper">', '<insert id="insertItem">insert into item~ (name) values (#{r.name}, #{gone})</insert>', "</mapper>", folder="resources/mapper", suffix="xml"),
     _java("Bare~", "package demo;", "public class Bare~ extends ServiceImpl<Item~Mapper, OrderLine~> {", "  public long all() {", "    return this.count();", "  }", "}"),
-    _java("item~", 'export const create = (d) => axios.post("/api/item~/create", d);', '?10:fetch("/gone/item~");', folder="web/api", suffix="ts"),
+    _java("item~", 'export const createItem~ = (d) => axios.post("/api/item~/create", d);', 'export const one~ = (id) => request.get("/api/item~/" + id);', '?10:fetch("/gone/item~");', folder="web/api", suffix="ts"),
+    _java("View~", "<script>", "function save() { createItem~(form); }", "async function open() {", "  one~ (7);", "  createItem~(form);", "}", "</script>", folder="web/views", suffix="vue"),
 ]
 _EACH = "SELECT 'p' || cast(p_partkey % 20 AS string) AS project_id, 'svc' || cast(p_partkey % 40 AS string) AS svc, cast(p_partkey AS string) AS k, p_partkey AS n, chr(10) AS nl FROM part"
 RAW_JAVA = " UNION ALL ".join(f"SELECT project_id, svc || {path} AS relative_path, {text} AS content FROM ({_EACH}) AS e" for path, text in JAVA_FILES)

@@ -288,7 +288,7 @@ _X15 = " UNION ALL ".join(
 
 @register("x15_extract_xml_sql", _X15)
 def x15(spark, sf_dir):
-    return facts.extract_xml_sql(code(spark, sf_dir))
+    return facts.extract_xml_sql(code(spark, sf_dir)).drop("end_line")
 
 
 _TABLES = "list_transform(regexp_extract_all(statement, CASE operation WHEN 'select' THEN '(?i)\\bfrom\\s+([`\\w.]+)' WHEN 'insert' THEN '(?i)\\binsert\\s+into\\s+([`\\w.]+)' WHEN 'update' THEN '(?i)\\bupdate\\s+([`\\w.]+)' ELSE '(?i)\\bdelete\\s+from\\s+([`\\w.]+)' END, 1), lambda t: trim(t, '`'))"

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, facts, java
+from ..operators import chains, facts, graph, java
 from ..sources.files import files_from_table
 from ..sources.shared import written
 from .bindings import RAW_JAVA, bound
@@ -210,7 +210,7 @@ def _crud(spark, sf_dir):
 
 @register("j7_link_framework_crud", _CRUD)
 def j7(spark, sf_dir):
-    return _crud(spark, sf_dir)[2].drop("ord", "mapper")
+    return _crud(spark, sf_dir)[2].drop("ord", "mapper", "relative_path", "line", "method")
 
 
 @register("j8_bind_services", rows(
@@ -271,13 +271,12 @@ _CHAIN = f"""(SELECT *, 'springvue.http.' || CASE WHEN place < 1000 THEN lpad(pl
 
 def _chains(spark, sf_dir):
     held = chains.evidence(files(spark, sf_dir))
-    found, matched = chains.chains(held)
-    return written(found, "chain-found"), matched, held
+    return chains.chains(held), held
 
 
 @register("a7_method_chains", f"SELECT project_id, chain_id, method || ' ' || normalized_url AS name, status, CASE WHEN method = 'DELETE' THEN '{chains.UNRESOLVED}service.missing(...)' ELSE '' END AS gaps FROM {_CHAIN} AS c")
 def a7_methods(spark, sf_dir):
-    return _chains(spark, sf_dir)[0].select("project_id", "chain_id", "name", "status", F.array_join("gaps", "|").alias("gaps"))
+    return _chains(spark, sf_dir)[0].chains.select("project_id", "chain_id", "name", "status", F.array_join("gaps", "|").alias("gaps"))
 
 
 @register("a8_chain_risk", f"""
@@ -285,17 +284,48 @@ SELECT project_id, chain_id, CASE method WHEN 'POST' THEN 100 WHEN 'DELETE' THEN
   CASE method WHEN 'POST' THEN '写接口|数据库写操作|更新或删除未发现 WHERE|SQL 参数与 Mapper 参数不一致' WHEN 'DELETE' THEN '写接口' ELSE '' END AS risk_reasons FROM {_CHAIN} AS c
 """)
 def a8_chains(spark, sf_dir):
-    return _chains(spark, sf_dir)[0].select("project_id", "chain_id", "risk_score", F.array_join("risk_reasons", "|").alias("risk_reasons"))
+    return _chains(spark, sf_dir)[0].chains.select("project_id", "chain_id", "risk_score", F.array_join("risk_reasons", "|").alias("risk_reasons"))
 
 
+# Each part's front end calls creation and the folded URL of one; every tenth calls what isn't there.
 @register("a5_method_chain_summary", f"""
 SELECT *, round((frontend_call_count - unmatched_frontend_count) / frontend_call_count, 4) AS frontend_match_rate, round(resolved_controller_business_call_count / controller_business_call_count, 4) AS controller_business_resolution_rate,
   1.0::DOUBLE AS service_persistence_resolution_rate
 FROM (SELECT project_id, count(*) AS endpoint_count, count(*) FILTER (status = 'complete') AS complete_count, count(*) FILTER (status = 'partial') AS partial_count,
-    count(*) FILTER (status = 'needs_confirmation') AS needs_confirmation_count, count(*) FILTER (method <> 'POST') AS unmatched_endpoint_count FROM {_CHAIN} AS c GROUP BY project_id) AS a
-  JOIN (SELECT project_id, count(*) + count(*) FILTER (n % 10 = 0) AS frontend_call_count, count(*) FILTER (n % 10 = 0) AS unmatched_frontend_count FROM {_PART} GROUP BY project_id) AS b USING (project_id)
+    count(*) FILTER (status = 'needs_confirmation') AS needs_confirmation_count, count(*) FILTER (method = 'DELETE') AS unmatched_endpoint_count FROM {_CHAIN} AS c GROUP BY project_id) AS a
+  JOIN (SELECT project_id, 2 * count(*) + count(*) FILTER (n % 10 = 0) AS frontend_call_count, count(*) FILTER (n % 10 = 0) AS unmatched_frontend_count FROM {_PART} GROUP BY project_id) AS b USING (project_id)
   JOIN (SELECT project_id, count(*) FILTER (business) AS controller_business_call_count, count(*) FILTER (business AND method <> 'missing') AS resolved_controller_business_call_count,
     count(*) FILTER (persistence) AS service_persistence_call_count, count(*) FILTER (persistence) AS resolved_service_persistence_call_count FROM ({_CALLS}) AS c GROUP BY project_id) AS d USING (project_id)
 """)
 def a5_methods(spark, sf_dir):
     return chains.summary(*_chains(spark, sf_dir))
+
+
+# A call at the end of a file counts as the last of the function declared before it, so there the view's action leads to that call.
+_OPENED = "(method = 'POST' OR (method = 'GET' AND n % 10 <> 0))"
+_FRONT = f"""
+SELECT project_id, chain_id, 1 AS place, 'frontend_action' AS kind, 'View' || n || '.open' AS name FROM {_CHAIN} AS c WHERE {_OPENED}
+UNION ALL SELECT project_id, chain_id, 2, 'frontend_action', 'View' || n || '.save' FROM {_CHAIN} AS c WHERE method = 'POST'
+UNION ALL SELECT project_id, chain_id, CASE WHEN method = 'POST' THEN 3 WHEN {_OPENED} THEN 2 ELSE 1 END, 'api_call', method || ' ' || normalized_url FROM {_CHAIN} AS c WHERE method <> 'DELETE'
+"""
+
+
+@register("g2_attach_frontend", _FRONT)
+def g2(spark, sf_dir):
+    nodes = _chains(spark, sf_dir)[0].nodes.where("place.side = 0")
+    return nodes.select("project_id", "chain_id", F.col("place.depth").alias("place"), "kind", "name")
+
+
+_READ_ONE = "' -> Item' || n || 'Controller.one -> Remote' || n || 'Client.check -> MyBatis-Plus SELECT Item' || n || ' -> t_item' || n"
+
+
+@register("g3_render_chain_path", f"""
+SELECT project_id, chain_id, CASE method
+  WHEN 'POST' THEN 'View' || n || '.open -> View' || n || '.save -> POST ' || normalized_url || ' -> Item' || n || 'Controller.create' || CASE WHEN n % 4 = 0 THEN ' -> Item' || n || 'AltService.create' ELSE '' END
+    || ' -> Item' || n || 'ServiceImpl.create -> Item' || n || 'Mapper.insertItem -> MyBatis-Plus UPDATE Item' || n || ' -> demo.Item' || n || 'Mapper.insertItem -> t_item' || n || ' -> item' || n
+  WHEN 'GET' THEN CASE WHEN {_OPENED} THEN 'View' || n || '.open -> ' ELSE '' END || 'GET ' || normalized_url || {_READ_ONE}
+  ELSE 'DELETE ' || normalized_url || ' -> Item' || n || 'Controller.wipe' || {_READ_ONE} END AS chain_path
+FROM {_CHAIN} AS c
+""")
+def g3(spark, sf_dir):
+    return graph.render_chain_path(_chains(spark, sf_dir)[0].nodes)

@@ -1,9 +1,11 @@
-"""Facts of single files: one row for each match, with its line. One pass over the content, no shuffle."""
+"""Facts of single files: one row for each match, with its line. No shuffle."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +31,39 @@ LARGE_FILE = 300
 REDACTED = "[已脱敏]"
 
 
-def find_all(files: DataFrame, pattern: str, groups: Sequence[str] = (), content: str = "content") -> DataFrame:
-    """KEYS, ord, line, match and a column for each named group (in order; "" if it took no part), per match.
+#: Files whose matches a task holds at a time.
+SLICE = 64
 
-    The line of a match is one more than the newlines in the text before it: those in the gaps
-    between the matches so far, and in these matches. Linear in the file.
+
+def find_all(files: DataFrame, pattern: str, groups: Sequence[str] = (), content: str = "content", carry: Sequence[str] = ()) -> DataFrame:
+    """KEYS, the columns ``carry``, ord, line, end_line, match and a column for each named group (in order; "" if it took no part), per match.
+
+    One pass over each file; letters, digits and blanks of the pattern are ASCII. The newlines between one match
+    and the next are counted once, so lines take time linear in the file. A null content has no match.
     """
-    whole = F.regexp_extract_all(as_column(content), F.lit(pattern), F.lit(0))
-    gaps = F.split(as_column(content), pattern, -1)
-    per = F.zip_with(gaps, whole, lambda g, m: F.struct(m.alias("match"), newlines(g).alias("before"), newlines(m).alias("inside")))
-    arrays = [F.regexp_extract_all(as_column(content), F.lit(pattern), F.lit(k + 1)).alias(f"_{k}") for k in range(len(groups))]
-    found = files.where(as_column(content).rlike(pattern)).select(*KEYS, per.alias("_per"), *arrays)
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines"))
-    lines = F.aggregate(
-        F.filter("_per", lambda x: x["match"].isNotNull()),
-        start,
-        lambda acc, x: F.struct((acc["line"] + x["before"] + x["inside"]).cast("int").alias("line"), F.array_append(acc["lines"], (acc["line"] + x["before"]).cast("int")).alias("lines")),
-        lambda acc: acc["lines"],
-    )
-    out = found.select("*", F.posexplode(lines).alias("ord", "line"))
-    named = [F.get(F.col(f"_{k}"), F.col("ord")).alias(name) for k, name in enumerate(groups)]
-    return out.select(*KEYS, "ord", "line", F.get(F.col("_per"), F.col("ord"))["match"].alias("match"), *named)
+    kept = [*KEYS, *carry]
+    kinds = dict(files.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "ord int, line int, end_line int, match string", *(f"`{g}` string" for g in groups)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern, re.ASCII).finditer
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                rows, numbers, found = [], [], []
+                for k, text in enumerate(batch.column(len(kept)).to_pylist()):
+                    line, before = 1, 0
+                    for n, m in enumerate(find(text or "")):
+                        line += text.count("\n", before, m.start())
+                        before = m.start()
+                        rows.append(k)
+                        numbers.append((n, line, line + m.group().count("\n")))
+                        found.append((m.group(), *(g or "" for g in m.groups()[: len(groups)])))
+                own = batch.select(range(len(kept))).take(pa.array(rows, pa.int64()))
+                columns = [*own.columns, *(pa.array([x[k] for x in numbers], pa.int32()) for k in range(3)), *(pa.array([x[k] for x in found], pa.string()) for k in range(1 + len(groups)))]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "ord", "line", "end_line", "match", *groups])
+
+    return files.select(*kept, content).mapInArrow(run, schema)
 
 
 def of(files: DataFrame, *languages: str) -> DataFrame:
@@ -164,14 +178,12 @@ def extract_generic_signals(files: DataFrame) -> DataFrame:
 
 
 def extract_xml_sql(files: DataFrame) -> DataFrame:
-    """(KEYS, namespace, statement_id, line, operation, statement) of mapper files with a namespace. Statements are whole."""
+    """(KEYS, namespace, statement_id, line, operation, statement, end_line) of mapper files with a namespace. Statements are whole."""
     attributes = r"""(?is)<(select|insert|update|delete)\b([^>]*)>(.*?)</\1>"""
     mine = of(files, "xml").where(F.col("content").contains("<mapper"))
     namespaces = mine.select(*KEYS, F.regexp_extract("content", r"""<mapper\b[^>]*\bnamespace\s*=\s*["']([^"']+)["']""", 1).alias("namespace"), "content").where("namespace <> ''")
-    packed = namespaces.select("project_id", "relative_path", "content", "namespace")
-    found = find_all(packed, attributes, ["verb", "attributes", "body"])
-    named = found.join(namespaces.select(*KEYS, "namespace"), KEYS)
-    return named.select(*KEYS, "namespace", F.regexp_extract("attributes", r"""\bid\s*=\s*["']([^"']+)["']""", 1).alias("statement_id"), "line", F.lower("verb").alias("operation"), squeezed("body").alias("statement")).where("statement_id <> ''")
+    found = find_all(namespaces, attributes, ["verb", "attributes", "body"], carry=["namespace"])
+    return found.select(*KEYS, "namespace", F.regexp_extract("attributes", r"""\bid\s*=\s*["']([^"']+)["']""", 1).alias("statement_id"), "line", F.lower("verb").alias("operation"), squeezed("body").alias("statement"), "end_line").where("statement_id <> ''")
 
 
 def sql_facts(statements: DataFrame) -> DataFrame:
