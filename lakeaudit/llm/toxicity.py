@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Container, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -53,7 +54,7 @@ INVISIBLE = "­​‌‍⁠﻿"
 #: Costs in nats of the channel.
 SWAPPED, KEPT, MASKED, SINGLED, SPELLED_OUT, GAP = 0.5, 5.0, 2.5, 0.2, 4.0, 0.5
 #: Tokens that a task remembers with their features.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 LETTER = r"[^\W\d_]"
@@ -76,6 +77,8 @@ def _spans() -> re.Pattern:
 
 
 SPANS, APART = _spans(), re.compile(_apart(" {1,2}"))
+#: Signs at the ends of a token that never stand for a letter there, and what else makes a token of letters worth reading.
+EDGES, ODD = ".,;:?\"'", re.compile(f"({LETTER})\\1\\1|{ALIKE}")
 HIDDEN = re.compile(f"[{INVISIBLE}]")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -211,19 +214,29 @@ def parts(word: str) -> set[str]:
 class Tokens(dict):
     """Token -> the features of its words as read, those in ``used`` if that is given; of bounded size."""
 
-    def __init__(self, reader: Reader, used: Container[str] | None = None):
+    def __init__(self, reader: Reader, used: Collection[str] | None = None):
         super().__init__()
         self.reader, self.used = reader, used
+        # All features of a word begin with its first four letters.
+        self.stems = None if used is None else {f[:4] for f in used}
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = set().union(*map(parts, WORD.findall(self.reader.token(token))))
-        value = self[token] = tuple(f for f in found if self.used is None or f in self.used)
+        bare = token.strip(EDGES)
+        if bare.isalpha() and not ODD.search(bare):  # letters alone, none three times in a row and none a look-alike, have one reading
+            words = (bare,)
+        else:
+            words = WORD.findall(self.reader.token(token))
+        if self.stems is None:
+            value = tuple({f for word in words for f in parts(word)})
+        else:
+            value = tuple({f for word in words if word[:4] in self.stems for f in parts(word) if f in self.used})
+        self[token] = value
         return value
 
     def of(self, text: str) -> set[str]:
-        return set().union(*map(self.__getitem__, set(self.reader.joined(text).split())))
+        return set(chain.from_iterable(map(self.__getitem__, set(self.reader.joined(text).split()))))
 
 
 @dataclass(frozen=True)
