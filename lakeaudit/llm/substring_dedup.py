@@ -11,9 +11,10 @@ Arrays are tables in buckets by these keys and sorted by them inside: by content
 hash beyond, since only equality of prefixes of GRAM bytes and more counts.
 
 Documents arrive in ``BATCHES`` batches by id. A batch's suffix array is merge-scanned (a sort-merge join
-over the buckets, so that levels are never shuffled) against the existing levels: what a level owns
-already goes. What is left becomes a level of size one; two levels of equal size merge, bucket by bucket,
-into one of twice the size, so there are never more than log2(batches) + 1. In the end a document's
+over the buckets, so that levels are neither shuffled nor sorted again) against the existing levels: what a
+level owns already goes. What is left becomes a level of size one; two levels of equal size merge, bucket by
+bucket, into one of twice the size, so there are never more than log2(batches) + 1. Each bucket is one file, written
+in order, and is read as a sorted run. In the end a document's
 entries that the levels don't own by it are those that start earlier elsewhere. Entries that share their
 gram but not all bytes are told apart window by window at the end.
 
@@ -21,7 +22,7 @@ Grams that occur once can't match. They are left out by exact counts, through a
 size, which at worst lets more of them through.
 
 Null and empty text: zero bytes. Null ids come after all others. Rows with the same id and text are
-one document; those with the same id and other text are ordered by a hash of the text. Ids are whole
+one document; those with the same id and other text are ordered by 64 bits of hash of the text. Ids are whole
 numbers. Very long texts are anchored SEGMENT bytes at a time. Columns beside id and text aren't read.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -143,7 +145,7 @@ def candidates(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _entries(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """(head, gram, context, doc, at, lo, hi): anchors whose gram may repeat. at: th (high), position (low)."""
+    """(head, gram, context, doc, th, at, lo, hi): anchors whose gram may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -155,13 +157,15 @@ def _entries(docs: DataFrame, sent: Broadcast) -> DataFrame:
             # Big-endian with the first bit turned, so that numbers are in the order of bytes.
             heads = np.frombuffer(b"".join([texts[k][c : c + 8] for k, _, _, c in rows]), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
             doc, th = batch.column(0).to_numpy()[text], batch.column(1).to_numpy()[text]
-            arrays = [heads.view(np.int64), gram.view(np.int64), np.array(contexts, np.uint64).view(np.int64), doc, at + (th << 32), lo.astype(np.int32), hi.astype(np.int32)]
+            arrays = [heads.view(np.int64), gram.view(np.int64), np.array(contexts, np.uint64).view(np.int64), doc, th, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), [*ENTRY, *OWNER])
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "head long, gram long, context long, doc long, at long, lo int, hi int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "head long, gram long, context long, doc long, th long, at int, lo int, hi int")
 
 
-OWNER = ["doc", "at", "lo", "hi"]
+OWNER = ["doc", "th", "at", "lo", "hi"]
+#: Whether bucketed tables are read in the order of their files.
+RUNS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 class SuffixIndex:
@@ -178,20 +182,38 @@ class SuffixIndex:
         rows.write.bucketBy(self.buckets, *ENTRY).sortBy(*ENTRY).saveAsTable(name)
         return name
 
+    @contextmanager
+    def sorted_runs(self) -> Iterator[None]:
+        """While this holds, Spark relies on the order of a bucket's only file."""
+        held = self.spark.conf.get(RUNS)
+        self.spark.conf.set(RUNS, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.set(RUNS, held)
+
     def insert(self, batch: DataFrame) -> None:
         """Add the suffix array of a batch's entries, without what the levels own."""
+        with self.sorted_runs():
+            self._insert(batch)
+
+    def _insert(self, batch: DataFrame) -> None:
         array = batch.groupBy(*ENTRY).agg(F.min(F.struct(*OWNER)).alias("owner"))
         for _, name in self.levels:
             array = array.join(self.spark.table(name).select(*ENTRY).hint("merge"), ENTRY, "left_anti")
         size, name = 1, self.level(array)
         while self.levels and self.levels[-1][0] == size:
             _, other = self.levels.pop()
-            one, two = self.spark.table(other).hint("merge"), self.spark.table(name).withColumnRenamed("owner", "second")
-            merged = self.level(one.join(two, ENTRY, "full").select(*ENTRY, F.coalesce("owner", "second").alias("owner")))
+            merged = self.level(self.merged(other, name))
             self.drop(other, name)
             size, name = 2 * size, merged
         self.levels.append((size, name))
 
+    def merged(self, one: str, two: str) -> DataFrame:
+        """Two levels as one, each entry with its owner; no entry is in both."""
+        joined = self.spark.table(one).hint("merge").join(self.spark.table(two).withColumnRenamed("owner", "second"), ENTRY, "full")
+        return joined.select(*ENTRY, F.coalesce("owner", "second").alias("owner"))
+
     def owners(self) -> DataFrame:
         """Each entry's first owner."""
         every = self.spark.table(self.levels[0][1])
@@ -210,7 +232,7 @@ def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
     several = owners.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     # Copies of a whole context are settled; only grams with several contexts are doubtful.
     doubtful = owners.join(several, "gram", "left_semi")
-    asked = written(doubtful.groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-asked")
+    asked = written(doubtful.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-asked")
     texts = docs.select("doc", "th", "text").join(asked, ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +241,12 @@ def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
                 data = _bytes(text)
                 starts = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in runs])
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[s : s + LENGTH]) for s in starts.tolist()]), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(starts), doc)), pa.array(starts + (th << 32))], ["w1", "w2", "doc", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.full(len(starts), doc)), pa.array(np.full(len(starts), th)), pa.array(starts.astype(np.int32))], ["w1", "w2", "doc", "th", "at"])
 
-    windows = texts.mapInArrow(run, "w1 long, w2 long, doc long, at long")
+    windows = texts.mapInArrow(run, "w1 long, w2 long, doc long, th long, at int")
     # What a window's first owner keeps; all other windows of these runs go.
-    kept = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "at")).alias("first")).select("first.*")
-    kept = kept.groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("kept"))
+    kept = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "th", "at")).alias("first")).select("first.*")
+    kept = kept.groupBy("doc", "th").agg(F.collect_list("at").alias("kept"))
     told = written(asked.join(kept, ["doc", "th"], "left"), "suffix-told")
     release(asked)
     return told
@@ -233,9 +255,8 @@ def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
 def dedup(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, kept (the bytes that stay), n_bytes, removed (maximal removed runs: start, end)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).alias("text"))
-    # Only where ids repeat does a text's hash have to tell rows apart.
-    unique = rows.groupBy("doc").count().where("count > 1").isEmpty()
-    rows = rows.withColumn("th", F.lit(0).cast("long") if unique else F.shiftrightunsigned(F.crc32(F.coalesce(F.col("text"), F.lit(""))), 1))
+    # Rows of one id (or without any) are told apart by 64 bits of their texts.
+    rows = rows.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
     repeated = written(_grams(rows).groupBy("gram").count().where("count > 1").select("gram"), "suffix-grams")
     sent = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, repeated.count()))
     release(repeated)
@@ -247,7 +268,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_
         index.insert(entries.where(F.col("batch") == k).drop("batch"))
     release(entries)
     told = _windows(rows, index)
-    owned = index.owners().groupBy("doc", F.shiftright("at", 32).alias("th")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(2**32 - 1)).cast("int")).alias("owned"))
+    owned = index.owners().groupBy("doc", "th").agg(F.collect_list("at").alias("owned"))
     marks = written(owned.join(told, ["doc", "th"], "full"), "suffix-marks")
     release(told)
     index.drop(*(name for _, name in index.levels))

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -159,6 +160,41 @@ def test_substrings(spark):
     assert substring_dedup.dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def kept_by_hash(spark, docs):
+    """Brute force over rows ordered by id (none last), then by the hash of the text; equal rows are one document."""
+    hashed = spark.createDataFrame(docs, DOCS).selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS h").distinct().collect()
+    rows = sorted(hashed, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.h))
+    left = without_repeats([(k, r.text) for k, r in enumerate(rows)])
+    return [(r.doc_id, left[k]) for k, r in enumerate(rows)]
+
+
+def test_rows_of_one_id_whose_checksums_are_equal(spark):
+    """Texts without an id, two of them with one CRC-32, and repeated ids; each row against brute force."""
+    seen, pair = {}, None
+    for k in range(400_000):
+        text = hashlib.md5(b"%d" % k).hexdigest() + "abcdefghij" * 12
+        if (other := seen.setdefault(zlib.crc32(text.encode()), text)) != text:
+            pair = other, text
+            break
+    docs = [(None, t) for t in pair or (text, text + "z")] + [(None, text_of(*range(40))), (None, text_of(*range(20, 60))), (None, ""), (None, None), (7, pair[0] if pair else text), (7, text_of(*range(30)) + "é"), (7, text_of(*range(30)) + "é")]
+    got = sorted((str(r.doc_id), bytes(r.kept)) for r in substring_dedup.dedup(spark.createDataFrame(docs, DOCS)).distinct().collect())
+    assert pair and got == sorted({(str(d), k) for d, k in kept_by_hash(spark, docs)})
+
+
+def test_levels_are_read_as_sorted_runs(spark):
+    index = substring_dedup.SuffixIndex(spark)
+    rows = spark.range(4000).selectExpr("id * 7919 % 4001 AS head", "id AS gram", "id AS context", "struct(id AS doc, id AS th, 1 AS at, 1 AS lo, 1 AS hi) AS owner")
+    one, two = (index.level(rows.where(f"gram % 2 = {k}").repartition(index.buckets, *substring_dedup.ENTRY)) for k in (0, 1))
+    try:
+        with index.sorted_runs():
+            merged = index.merged(one, two)
+            plan = merged._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+            assert merged.count() == 4000 and merged.where("owner is null").count() == 0
+    finally:
+        index.drop(one, two)
+
+
 def test_suffix_levels(spark, monkeypatch):
     """Levels after each insertion, and overlaps that only older levels know."""
     sizes = []
@@ -172,8 +208,8 @@ def test_suffix_levels(spark, monkeypatch):
     parts = [text_of(*range(k * 40, k * 40 + 40)) for k in range(5)]
     docs = [(k, f"{k} " + parts[k % 5][k:] + parts[(k * 2 + 1) % 5][: 130 + k] + "é" * k) for k in range(24)]
     docs += [(24, parts[0] * 700), (25, None), (25, parts[1]), (26, parts[1] + "x"), (26, parts[2])]
-    got = {(r.doc_id, bytes(r.kept)) for r in substring_dedup.dedup(spark.createDataFrame(docs, DOCS)).where("doc_id < 25").collect()}
-    assert got == {(d, k) for d, k in without_repeats(docs[:25]).items()}
+    got = {(r.doc_id, bytes(r.kept)) for r in substring_dedup.dedup(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == set(kept_by_hash(spark, docs))
     assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1], [8]]
 
 
