@@ -155,7 +155,8 @@ SELECT project_id, {_SECTION}::INT AS section, number::INT AS number, CASE WHEN
   || {_told("类别：", "category")} || {_told("位置：`", "relative_path || CASE WHEN coalesce(line, 0) > 0 THEN ':' || line ELSE '' END || '`'")} || {_told("置信度：", "confidence")}
   || CASE WHEN len(affected_endpoints) > 0 THEN {_told("接口：`", "affected_endpoints[1] || '`'")} ELSE '' END || CASE WHEN len(affected_endpoints) > 1 THEN {_told("受影响接口：", "array_to_string(affected_endpoints, '、')")} ELSE '' END
   || {_told("证据：", "evidence")} || {_told("触发路径：", "trigger_path")} || {_told("影响：", "impact")} || {_told("修复建议：", "recommendation")} AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY project_id, severity ORDER BY relative_path, coalesce(line, 0), seq) AS number FROM w7) AS w
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id, severity ORDER BY relative_path, coalesce(line, 0), seq) AS number FROM (SELECT w7.*, q.category, q.confidence, q.evidence, q.trigger_path, q.impact, q.recommendation,
+        CASE WHEN coalesce(endpoints, '') = '' THEN [] ELSE string_split(endpoints, '|') END AS affected_endpoints FROM w7 JOIN ({duck(FINDINGS)}) AS q USING (project_id, seq)) AS v) AS w
 UNION ALL SELECT project_id, {len(review.ORDER) + 1}, number::INT, CASE WHEN number = 1 THEN chr(10) || '{review.LIMITS}' || chr(10) || chr(10) ELSE '' END || '- ' || "limit"
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY "limit") AS number FROM (SELECT DISTINCT * FROM ({_LIMITS.replace("AS limit", 'AS "limit"')}) AS l) AS d) AS e
 """)
