@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import facts, graph, relate
+from ..operators import facts, graph, java, relate
 from ..sources.tables import table
 from .bindings import EDGES, bound, duck
-from .fact_queries import _ROLE, _X1, _X2, _X15, _X16, CODE, KEYS, _duck_url, _find, _OWNERS, code, prose, register, PROSE
+from .fact_queries import _ROLE, _TABLES, _X1, _X2, _X15, _X16, CODE, KEYS, _duck_url, _find, _OWNERS, code, prose, register, PROSE
 
 _INJECTIONS = _find(CODE, "language = 'java'", facts.INJECTION, 2)
 _J1 = f"SELECT i.project_id, i.relative_path AS source, o.relative_path AS target, 'injects' AS kind, g1 AS evidence FROM {_INJECTIONS} AS i JOIN {_OWNERS} AS o ON o.project_id = i.project_id AND o.class = g1"
@@ -216,3 +216,12 @@ def a8(spark, sf_dir):
     found = facts.sql_facts(facts.extract_xml_sql(code(spark, sf_dir)))
     _, points = graph.risk_points(F.lit("GET"), F.col("operation"), F.col("uses_dollar"), F.col("has_where"), F.lit(False))
     return found.select(*KEYS, "statement_id", points.alias("points"))
+
+
+@register("j24_link_sql_tables", f"""
+SELECT DISTINCT project_id, 'sql:' || relative_path || ':' || line || ':' || namespace || '.' || statement_id AS source, 'table:' || lower(trim(t, '`')) AS target, CASE WHEN operation = 'select' THEN 'reads_table' ELSE 'writes_table' END AS kind, 'high' AS confidence
+FROM (SELECT *, unnest({_TABLES}) AS t FROM ({_X15}) AS q) AS s
+""")
+def j24_tables(spark, sf_dir):
+    found = facts.sql_facts(facts.extract_xml_sql(code(spark, sf_dir))).withColumn("node_id", java.statement_id())
+    return facts.link_tables(found)

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, facts, graph, java
+from ..operators import chains, facts, findings, graph, java, relate
 from ..sources.files import files_from_table
 from ..sources.shared import written
 from .bindings import RAW_JAVA, bound
 from .fact_queries import KEYS, register
+from .graph_queries import _W4, _both
 
 _PART = "(SELECT 'p' || (p_partkey % 20) AS project_id, 'svc' || (p_partkey % 40) || '/src/main/java/demo/' AS base, p_partkey AS n, 'Item' || p_partkey AS item, 'Remote' || p_partkey || 'Client' AS client, 'Bare' || p_partkey AS bare FROM part) AS p"
 
@@ -329,3 +330,34 @@ FROM {_CHAIN} AS c
 """)
 def g3(spark, sf_dir):
     return graph.render_chain_path(_chains(spark, sf_dir)[0].nodes)
+
+
+@register("a16_coverage_limits", f"""
+SELECT project_id, '{relate.UNOWNED}' || relative_path AS "limit" FROM ({_W4}) AS w WHERE owner IS NULL
+UNION ALL SELECT project_id, '{relate.BROKEN}' || chain_id || ' ' || method || ' ' || normalized_url || '（' || status || '）' || CASE WHEN method = 'DELETE' THEN '：{chains.UNRESOLVED}service.missing(...)' ELSE '' END FROM {_CHAIN} AS c WHERE status <> 'complete'
+""")
+def a16_limits(spark, sf_dir):
+    return relate.coverage_limits(relate.allocate_owners(_both(spark, sf_dir)), _chains(spark, sf_dir)[0].chains)
+
+
+# Lines asked for in each Java file: above the first method, in nested ones, between and behind them.
+_HEAD = "'" + findings.METHOD_HEAD + "'"
+_ASKED = "SELECT project_id, relative_path, cast(k AS bigint) AS seq, CASE k WHEN 9 THEN NULL ELSE cast(k * 3 - 1 AS int) END AS line FROM ({files}) AS f CROSS JOIN (SELECT explode(sequence(0, 9)) AS k) AS ks"
+_J23 = f"""
+WITH f AS (SELECT project_id, relative_path, string_split(content, chr(10))[1:-2] AS ls FROM ({RAW_JAVA}) AS r WHERE ends_with(relative_path, '.java') AND content <> ''),
+l AS (SELECT project_id, relative_path, i - 1 AS pos, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM f) AS x),
+a AS (SELECT project_id, relative_path, k AS seq, least(len(ls) - 1, greatest(coalesce(CASE k WHEN 9 THEN NULL ELSE k * 3 - 1 END, 1) - 1, 0)) AS center FROM f CROSS JOIN (SELECT unnest(range(10)) AS k) AS ks),
+h AS (SELECT a.project_id, a.relative_path, seq, center, coalesce(max(pos), 0) AS head FROM a LEFT JOIN l ON l.project_id = a.project_id AND l.relative_path = a.relative_path AND pos <= center AND regexp_matches(text, {_HEAD}) GROUP BY ALL),
+b AS (SELECT h.project_id, h.relative_path, head, pos, sum(len(text) - len(replace(text, '{{', '')) - len(text) + len(replace(text, '}}', ''))) OVER w <= 0 AND bool_or(contains(text, '{{')) OVER w AS closed
+      FROM (SELECT DISTINCT project_id, relative_path, head FROM h) AS h JOIN l ON l.project_id = h.project_id AND l.relative_path = h.relative_path AND pos BETWEEN head AND head + 119 WINDOW w AS (PARTITION BY h.project_id, h.relative_path, head ORDER BY pos)),
+e AS (SELECT project_id, relative_path, head, coalesce(min(pos) FILTER (closed), max(pos)) AS last FROM b GROUP BY ALL)
+SELECT project_id, relative_path, seq::BIGINT AS seq, center::INT AS center, head::INT AS head, last::INT AS "end" FROM h JOIN e USING (project_id, relative_path, head)
+"""
+
+
+@register("j23_enclosing_method", _J23)
+def j23(spark, sf_dir):
+    mine = files(spark, sf_dir).where("language = 'java'")
+    mine.select("project_id", "relative_path").createOrReplaceTempView("java_paths")
+    asked = spark.sql(_ASKED.replace("{files}", "SELECT * FROM java_paths"))
+    return findings.enclosing_method(asked, mine)

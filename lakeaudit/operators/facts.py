@@ -195,3 +195,10 @@ def sql_facts(statements: DataFrame) -> DataFrame:
     tables = F.array_distinct(F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda t: F.regexp_replace(t, "^`+|`+$", "")))
     flags = {"uses_dollar": s.contains("${"), "uses_select_star": s.rlike(r"(?i)\bselect\s+\*"), "has_where": s.rlike(r"(?i)\bwhere\b"), "has_pagination": s.rlike(r"(?i)\blimit\b|\boffset\b")}
     return statements.withColumns({"tables": tables, **flags})
+
+
+def link_tables(statements: DataFrame) -> DataFrame:
+    """(project_id, source, target, kind, confidence) of statements (project_id, node_id, operation, tables): what they read or write. Table names are equal whatever their case."""
+    each = statements.select("project_id", F.col("node_id").alias("source"), "operation", F.explode("tables").alias("table_name"))
+    kind = F.when(F.col("operation") == "select", "reads_table").otherwise("writes_table")
+    return each.select("project_id", "source", F.concat(F.lit("table:"), F.lower("table_name")).alias("target"), kind.alias("kind"), F.lit("high").alias("confidence")).distinct()

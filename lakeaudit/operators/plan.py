@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .facts import GENERIC_LANGUAGES, KEYS
+from .ranges import number_rows
 
 # Files a batch, lines of a target and of a related file, characters a file counts at most, tokens a reply and a verification cost.
 BATCH, TARGET_LINES, RELATED_LINES, FILE_CHARS, REPLY, VERIFY = 6, 420, 140, 18_000, 1_600, 500
@@ -19,8 +20,8 @@ def first_n(df: DataFrame, n: int, keys: list[str], order: list[Column]) -> Data
 def batch_files(files: DataFrame, size: int = BATCH) -> DataFrame:
     """(project_id, task, priority, paths): generic files by path in groups of ``size``."""
     mine = files.where(F.col("language").isin(*GENERIC_LANGUAGES))
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy("relative_path"))
-    numbered = mine.select("project_id", "relative_path", F.ceil(place / size).cast("int").alias("task"))
+    placed = number_rows(mine.select("project_id", "relative_path"), ["project_id"], [F.col("relative_path")], "_place")
+    numbered = placed.select("project_id", "relative_path", F.ceil(F.col("_place") / size).cast("int").alias("task"))
     paths = F.array_sort(F.collect_list("relative_path"))
     return numbered.groupBy("project_id", "task").agg(paths.alias("paths")).withColumn("priority", F.col("task") + 70)
 
@@ -56,9 +57,8 @@ def estimate_tokens(tasks: DataFrame, prompt_chars: int, verifier_chars: int) ->
     """
     once = tasks.groupBy("project_id", "task", "relative_path").agg(F.least(F.max("chars"), F.lit(FILE_CHARS)).alias("chars"))
     sized = once.groupBy("project_id", "task").agg(F.sum("chars").alias("context"))
-    largest = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("context"), "task"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("project_id"))
-    ranked = sized.withColumns({"_place": largest, "_n": n})
+    counts = sized.groupBy("project_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = number_rows(sized, ["project_id"], [F.desc("context"), F.col("task")], "_place").join(counts, "project_id")
     k = F.least(F.col("_n"), F.greatest(F.lit(2), F.floor((F.col("_n") + 3) / 4)))
     out = ranked.withColumn("_kept", F.col("_place") <= k).groupBy("project_id").agg(
         F.greatest(F.lit(1), F.floor(F.sum(F.col("context") + prompt_chars) / 3)).cast("long").alias("input_tokens"),
@@ -76,5 +76,5 @@ def plan_groups(chains: DataFrame) -> DataFrame:
 
 def order_chain_tasks(chains: DataFrame) -> DataFrame:
     """chains with place (by risk, then id) and priority (max(1, 100 - risk))."""
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy(F.desc("risk_score"), "chain_id"))
-    return chains.withColumns({"place": place, "priority": F.greatest(F.lit(1), 100 - F.col("risk_score"))})
+    placed = number_rows(chains, ["project_id"], [F.desc("risk_score"), F.col("chain_id")], "place")
+    return placed.withColumn("priority", F.greatest(F.lit(1), 100 - F.col("risk_score")))

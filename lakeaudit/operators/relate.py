@@ -122,6 +122,21 @@ def allocate_owners(files: DataFrame) -> DataFrame:
     return claims.select(*KEYS, owner.alias("owner"))
 
 
+# What a report says wasn't covered.
+UNOWNED, BROKEN = "未被能力模块覆盖：", "未完成链路 "
+
+
+def coverage_limits(owners: DataFrame, chains: DataFrame) -> DataFrame:
+    """(project_id, limit): a line for each file that nobody owns, and for each chain that isn't complete, with its gaps.
+
+    owners: KEYS, owner; chains: project_id, chain_id, name, status, gaps. Each list is what a report shows under its limits.
+    """
+    files = owners.where("owner is null").select("project_id", F.concat(F.lit(UNOWNED), "relative_path").alias("limit"))
+    broken = chains.where("status <> 'complete'")
+    said = F.concat(F.lit(BROKEN), "chain_id", F.lit(" "), "name", F.lit("（"), "status", F.lit("）"), F.when(F.size("gaps") > 0, F.concat(F.lit("："), F.array_join("gaps", "；"))).otherwise(""))
+    return files.unionByName(broken.select("project_id", said.alias("limit")))
+
+
 def enclosing_project_edges(relations: DataFrame, known: DataFrame) -> DataFrame:
     """Cross-file relations that aren't known yet, each once."""
     columns = ["project_id", "source", "target", "kind", "evidence"]
