@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, bit_filter, may_hold, release, written
@@ -144,8 +144,19 @@ def candidates(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(x[some] for x in every)
 
 
+def packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """An anchor's position, and how far before it the first and the last of its windows start: less than LENGTH - GRAM + 1, so 6 bits each. In the order of positions."""
+    return at << 12 | at - lo << 6 | at - hi
+
+
+def unpacked() -> tuple[Column, Column, Column]:
+    """Position, first and last window start from the column place."""
+    at = F.shiftright("place", 12)
+    return tuple(c.cast("int") for c in (at, at - F.shiftright("place", 6).bitwiseAND(F.lit(63)), at - F.col("place").bitwiseAND(F.lit(63))))
+
+
 def _entries(docs: DataFrame, sent: Broadcast) -> DataFrame:
-    """(head, gram, context, doc, th, at, lo, hi): anchors whose gram may repeat."""
+    """(head, gram, context, doc, th, place): anchors whose gram may repeat; place: see packed()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sent.value
@@ -157,13 +168,13 @@ def _entries(docs: DataFrame, sent: Broadcast) -> DataFrame:
             # Big-endian with the first bit turned, so that numbers are in the order of bytes.
             heads = np.frombuffer(b"".join([texts[k][c : c + 8] for k, _, _, c in rows]), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)
             doc, th = batch.column(0).to_numpy()[text], batch.column(1).to_numpy()[text]
-            arrays = [heads.view(np.int64), gram.view(np.int64), np.array(contexts, np.uint64).view(np.int64), doc, th, at.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)]
+            arrays = [heads.view(np.int64), gram.view(np.int64), np.array(contexts, np.uint64).view(np.int64), doc, th, packed(at, lo, hi)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), [*ENTRY, *OWNER])
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "head long, gram long, context long, doc long, th long, at int, lo int, hi int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "head long, gram long, context long, doc long, th long, place long")
 
 
-OWNER = ["doc", "th", "at", "lo", "hi"]
+OWNER = ["doc", "th", "place"]
 #: Whether bucketed tables are read in the order of their files.
 RUNS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -232,7 +243,8 @@ def _windows(docs: DataFrame, index: SuffixIndex) -> DataFrame:
     several = owners.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     # Copies of a whole context are settled; only grams with several contexts are doubtful.
     doubtful = owners.join(several, "gram", "left_semi")
-    asked = written(doubtful.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-asked")
+    _, lo, hi = unpacked()
+    asked = written(doubtful.groupBy("doc", "th").agg(F.collect_list(F.struct(lo.alias("lo"), hi.alias("hi"))).alias("runs")), "suffix-asked")
     texts = docs.select("doc", "th", "text").join(asked, ["doc", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +280,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES, id_col: str = "doc_id", text_
         index.insert(entries.where(F.col("batch") == k).drop("batch"))
     release(entries)
     told = _windows(rows, index)
-    owned = index.owners().groupBy("doc", "th").agg(F.collect_list("at").alias("owned"))
+    at, _, _ = unpacked()
+    owned = index.owners().groupBy("doc", "th").agg(F.collect_list(at).alias("owned"))
     marks = written(owned.join(told, ["doc", "th"], "full"), "suffix-marks")
     release(told)
     index.drop(*(name for _, name in index.levels))

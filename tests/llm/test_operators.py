@@ -183,7 +183,7 @@ def test_rows_of_one_id_whose_checksums_are_equal(spark):
 
 def test_levels_are_read_as_sorted_runs(spark):
     index = substring_dedup.SuffixIndex(spark)
-    rows = spark.range(4000).selectExpr("id * 7919 % 4001 AS head", "id AS gram", "id AS context", "struct(id AS doc, id AS th, 1 AS at, 1 AS lo, 1 AS hi) AS owner")
+    rows = spark.range(4000).selectExpr("id * 7919 % 4001 AS head", "id AS gram", "id AS context", "struct(id AS doc, id AS th, id AS place) AS owner")
     one, two = (index.level(rows.where(f"gram % 2 = {k}").repartition(index.buckets, *substring_dedup.ENTRY)) for k in (0, 1))
     try:
         with index.sorted_runs():
