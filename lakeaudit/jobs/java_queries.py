@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chains, facts, findings, graph, java, relate
+from ..operators import chains, facts, findings, graph, java, relate, review
 from ..sources.files import files_from_table
 from ..sources.shared import written
 from .bindings import RAW_JAVA, bound
-from .fact_queries import KEYS, register
+from .fact_queries import CODE, KEYS, code, register
 from .graph_queries import _W4, _both
+from .registry import ORACLES
 
 _PART = "(SELECT 'p' || (p_partkey % 20) AS project_id, 'svc' || (p_partkey % 40) || '/src/main/java/demo/' AS base, p_partkey AS n, 'Item' || p_partkey AS item, 'Remote' || p_partkey || 'Client' AS client, 'Bare' || p_partkey AS bare FROM part) AS p"
 
@@ -340,6 +341,32 @@ def a16_limits(spark, sf_dir):
     return relate.coverage_limits(relate.allocate_owners(_both(spark, sf_dir)), _chains(spark, sf_dir)[0].chains)
 
 
+_PATHS = f"""(SELECT project_id, chain_id, n, method, method || ' ' || normalized_url AS name, status, CASE method
+  WHEN 'POST' THEN 'View' || n || '.open -> View' || n || '.save -> POST ' || normalized_url || ' -> Item' || n || 'Controller.create -> Item' || n || 'AltService.create -> Item' || n || 'ServiceImpl.create -> Item' || n || 'Mapper.insertItem -> MyBatis-Plus UPDATE Item' || n || ' -> demo.Item' || n || 'Mapper.insertItem -> t_item' || n || ' -> item' || n
+  ELSE 'DELETE ' || normalized_url || ' -> Item' || n || 'Controller.wipe' || {_READ_ONE} END AS path FROM {_CHAIN} AS c WHERE status <> 'complete')"""
+_COUNTED = " || ".join(f"'- {words}：' || {column} || chr(10)" for column, words in review.COUNTS.items())
+
+
+@register("s4_dataflow_lines", f"""
+SELECT project_id, {len(review.ORDER) + 2} AS section, 1 AS number, chr(10) || '{review.DATAFLOW}' || chr(10) || chr(10) || {_COUNTED} || '- {review.STRATEGY}：{review.BY_CHAIN}' AS text FROM ({ORACLES["a5_method_chain_summary"]}) AS a
+UNION ALL SELECT project_id, {len(review.ORDER) + 3}, number::INT, CASE WHEN number = 1 THEN chr(10) || '{review.UNFINISHED}' || chr(10) || chr(10) ELSE '' END || '- `' || name || '`：' || path || '；状态：' || status || '；风险优先级：' || CASE method WHEN 'POST' THEN 100 ELSE 30 END
+    || CASE WHEN method = 'DELETE' THEN chr(10) || '  - 断点：{chains.UNRESOLVED}service.missing(...)' ELSE '' END
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY chain_id) AS number FROM {_PATHS} AS p) AS q
+UNION ALL SELECT project_id, {len(review.ORDER) + 4}, number::INT, CASE WHEN number = 1 THEN chr(10) || '{review.UNLINKED}' || chr(10) || chr(10) ELSE '' END || '- `FETCH /gone/item' || n || '`（`' || path || ':3`）'
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS number FROM (SELECT project_id, n, replace(base, 'java/demo/', 'web/api/') || 'item' || n || '.ts' AS path FROM {_PART} WHERE n % 10 = 0) AS r) AS s
+""")
+def s4_dataflow(spark, sf_dir):
+    found, held = _chains(spark, sf_dir)
+    summary = written(chains.summary(found, held), "chain-summary")
+    unmatched = relate.unmatched(held.calls, found.matched, "source").select(*KEYS, "line", "name")
+    return review.dataflow_lines(summary, java.fallback_strategy(held.metrics, summary), found.chains, graph.render_chain_path(found.nodes), unmatched)
+
+
+@register("x8_ddl_tables", f"SELECT DISTINCT project_id, lower(regexp_extract(content, '(?i)create\\s+table\\s+(\\w+)', 1)) AS table_name FROM {CODE} AS c WHERE language = 'sql' AND contains(content, 'create table')")
+def x8_ddl(spark, sf_dir):
+    return facts.ddl_tables(code(spark, sf_dir))
+
+
 # Lines asked for in each Java file: above the first method, in nested ones, between and behind them.
 _HEAD = "'" + findings.METHOD_HEAD + "'"
 _ASKED = "SELECT project_id, relative_path, cast(k AS bigint) AS seq, CASE k WHEN 9 THEN NULL ELSE cast(k * 3 - 1 AS int) END AS line FROM ({files}) AS f CROSS JOIN (SELECT explode(sequence(0, 9)) AS k) AS ks"

@@ -23,6 +23,7 @@ SQL_ANNOTATION = r"""(?s)@(Select|Insert|Update|Delete)\s*\(\s*["'](.+?)["']\s*\
 SQL_BARE = r"(?i)(?:select|update|delete|insert)\s+[^\n;]+"
 SECRET = r"""(?i)\b(password|passwd|secret|api[_-]?key|token|access[_-]?key)\b\s*[:=]\s*["']?([^\s"'#]{4,})"""
 CONCATENATION = r"""(?i)(select|update|delete)\s+[^\n;]*["']\s*\+"""
+CREATE_TABLE = r"""(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[`"]?([\w.]+)"""
 SELECT_STAR = r"(?i)\bselect\s+\*\b"
 COMMAND = r"\b(system|popen|exec\.Command|Runtime\.getRuntime\(\)\.exec|subprocess\.(run|call|Popen))\s*\("
 WRITES = r"(?i)\b(insert|update|delete|save|remove)\w*\s*\("
@@ -197,6 +198,12 @@ def sql_facts(statements: DataFrame) -> DataFrame:
     return statements.withColumns({"tables": tables, **flags})
 
 
+def ddl_tables(files: DataFrame) -> DataFrame:
+    """(project_id, table_name): the tables that .sql files create, in lower case, without a schema's name."""
+    found = find_all(of(files, "sql"), CREATE_TABLE, ["name"])
+    return found.select("project_id", F.lower(F.substring_index("name", ".", -1)).alias("table_name")).distinct()
+
+
 def link_tables(statements: DataFrame) -> DataFrame:
     """(project_id, source, target, kind, confidence) of statements (project_id, node_id, operation, tables): what they read or write. Table names are equal whatever their case."""
     each = statements.select("project_id", F.col("node_id").alias("source"), "operation", F.explode("tables").alias("table_name"))
