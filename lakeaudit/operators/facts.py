@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_column, compact, is_test_or_example, newlines, squeezed
+from ..functions.text import compact, is_test_or_example, newlines, squeezed
 
 KEYS = ["project_id", "relative_path"]
 # What the extractors look for.

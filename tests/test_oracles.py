@@ -10,7 +10,7 @@ from lakeaudit.jobs import registry
 import lakeaudit.jobs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-CHEAP = ["s2_files_from_table", "p4_classify_role", "f1_normalize_url", "x1_extract_routes", "x16_sql_facts", "j2_relate_calls_to_routes", "w1_dedup_edges", "p9_govern", "w7_dedup_findings", "f7_parse_findings", "x8_extract_java_types", "x9_extract_java_methods", "x12_extract_endpoints", "j5_link_invocations", "j7_link_framework_crud"]
+CHEAP = ["s2_files_from_table", "p4_classify_role", "f1_normalize_url", "x1_extract_routes", "x16_sql_facts", "j2_relate_calls_to_routes", "w1_dedup_edges", "p9_govern", "w7_dedup_findings", "f7_parse_findings", "x8_extract_java_types", "x9_extract_java_methods", "x12_extract_endpoints", "j5_link_invocations", "j7_link_framework_crud", "j19_cut_fragments", "g4_attach_config", "o5_build_chain_plan", "u4_render_chain_context", "u4_render_layered_context", "w11_number_findings", "w10_cumulative_tokens", "j21_finding_context", "x8_ddl_tables"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
