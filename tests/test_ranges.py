@@ -57,3 +57,14 @@ def test_enclosing_methods(spark):
     asked = spark.createDataFrame([("p", path, k, line) for k, (path, line) in enumerate([("A.java", 1), ("A.java", 3), ("A.java", 4), ("A.java", 6), ("A.java", 7), ("A.java", 10), ("A.java", 400), ("A.java", 9999), ("A.java", None), ("A.java", -5), ("E.java", 3), ("Gone.java", 1)])], "project_id string, relative_path string, seq long, line int")
     got = {r.seq: (r.center, r["head"], r.end) for r in findings.enclosing_method(asked, files).collect()}
     assert got == {0: (0, 0, 10), 1: (2, 2, 7), 2: (3, 2, 7), 3: (5, 5, 5), 4: (6, 5, 5), 5: (9, 5, 5), 6: (399, 311, 430), 7: (511, 311, 430), 8: (0, 0, 10), 9: (0, 0, 10)}
+
+
+def test_edges_are_numbered_without_a_window_over_a_project(spark, tmp_path):
+    from lakeaudit.jobs.bindings import EDGES, bound, bound_to_edges
+
+    row = "id DIV 3 AS l_orderkey, id % 7 AS l_partkey, id % 5 AS l_suppkey, cast(id % 3 AS int) AS l_linenumber, cast(id AS double) AS l_extendedprice, 'R' AS l_returnflag, date '2020-01-01' AS l_shipdate"
+    spark.range(500).selectExpr(*row.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    ours = bound_to_edges(spark, str(tmp_path), f"SELECT * FROM ({EDGES}) AS e")
+    assert "row_number" not in ours._jdf.queryExecution().executedPlan().toString()
+    theirs = bound(spark, str(tmp_path), EDGES).select(*ours.columns)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
