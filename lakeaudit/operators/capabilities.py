@@ -100,8 +100,10 @@ def run(files: DataFrame, registry: Registry, threshold: float = THRESHOLD) -> R
         owners = written(allocate(files, alive, detected, threshold), "owners")
         facts: dict[str, dict[str, DataFrame]] = {}
         failed = None
+        # Contents meet their owners once a round; an analysis may read its files many times.
+        shared = written(files.join(owners.where("owner is not null").select(*KEYS, F.col("owner").alias("_owner")).distinct(), KEYS).select(*files.columns, "_owner"), "owned")
         for c in alive:
-            mine = files.join(owners.where(F.col("owner") == c.name).select(*KEYS), KEYS, "left_semi")
+            mine = shared.where(F.col("_owner") == c.name).drop("_owner")
             try:
                 facts[c.name] = {kind: written(table, f"facts-{kind}") for kind, table in c.analyze(mine).items()}
             except Exception as error:  # noqa: BLE001 - whatever a user's rules raise fails that capability only

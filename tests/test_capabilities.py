@@ -79,3 +79,19 @@ def test_merge_of_technologies_and_roles(spark):
     assert {(r.project_id, tuple(r.technologies)) for r in capabilities.merge_technologies(projects, said).collect()} == {("p", ("SQL", "Go", "Vue")), ("q", (capabilities.UNKNOWN,))}
     roles = spark.createDataFrame([("p", "service", "a", 1, 0), ("p", "service", "a", 0, 5), ("p", "mapper", "a", 1, 2)], "project_id string, role string, relative_path string, rank int, place int")
     assert {tuple(r) for r in capabilities.merge_roles(roles).collect()} == {("p", "service", "a", 0, 5), ("p", "mapper", "a", 1, 2)}
+
+
+def test_contents_meet_their_owners_once(spark):
+    seen = []
+
+    def analyze(files):
+        seen.append(files._jdf.queryExecution().executedPlan().toString())
+        return {"paths": files.select("project_id", "relative_path")}
+
+    rows = [("p", "a.py", "python", "x"), ("p", "a.py", "python", "x"), ("p", "b.go", "go", "y"), ("q", None, "go", "z")]
+    files = spark.createDataFrame(rows, "project_id string, relative_path string, language string, content string")
+    registry = capabilities.Registry()
+    registry.register(capabilities.Capability("rest", lambda f: f.select("project_id", F.lit(1.0).alias("score"), F.lit("").alias("reason")).distinct(), lambda f: f, analyze, specialized=False))
+    found = capabilities.run(files, registry)
+    assert len(seen) == 1 and "Join" not in seen[0]
+    assert sorted(map(tuple, found.facts["rest"]["paths"].collect())) == [("p", "a.py"), ("p", "a.py"), ("p", "b.go")]
