@@ -68,3 +68,15 @@ def test_edges_are_numbered_without_a_window_over_a_project(spark, tmp_path):
     assert "row_number" not in ours._jdf.queryExecution().executedPlan().toString()
     theirs = bound(spark, str(tmp_path), EDGES).select(*ours.columns)
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
+
+
+def test_more_rows_get_more_tasks(spark, tmp_path, monkeypatch):
+    from lakeaudit.jobs.bindings import EDGES, bound_to_edges
+
+    monkeypatch.setattr(ranges, "ROWS", 40)
+    held, per = ranges._ranged(spark.range(400).withColumn("key", F.lit("k")), ["key"], [F.col("id")], 400)
+    assert held.select("_range").distinct().count() > 4 and per.agg(F.sum("_n")).first()[0] == 400
+    row = "id AS l_orderkey, id % 7 AS l_partkey, id % 5 AS l_suppkey, cast(id % 3 AS int) AS l_linenumber, cast(id AS double) AS l_extendedprice, 'R' AS l_returnflag, date '2020-01-01' AS l_shipdate"
+    spark.range(400).selectExpr(*row.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = bound_to_edges(spark, str(tmp_path), f"SELECT * FROM ({EDGES}) AS e", "project_id", "target")
+    assert edges.rdd.getNumPartitions() == 11 and edges.count() == 400
