@@ -23,7 +23,7 @@ def _registry() -> Registry:
     out = Registry()
 
     def of(*languages):
-        return lambda files: files.where(F.col("language").isin(*languages))
+        return F.col("language").isin(*languages)
 
     def where(language, score, reason):
         return lambda files: files.where(F.col("language") == language).select("project_id", F.lit(score).alias("score"), F.lit(reason).alias("reason")).distinct()
@@ -32,7 +32,7 @@ def _registry() -> Registry:
     out.register(Capability("scripts", where("python", 0.7, "python"), of(*_SCRIPTS), lambda files: {"signals": facts.extract_generic_signals(files)}))
     out.register(Capability("queries", where("sql", 0.7, "sql"), of("sql", "typescript"), lambda files: {"sql": facts.extract_sql_operations(files).withColumn("line", F.col("line").cast("string"))}))
     out.register(Capability("broken", where("rust", 0.9, "rust"), of("rust", "python", "sql"), lambda files: {"none": files.select("project_id").mapInArrow(_broken, "project_id string")}))
-    out.register(Capability("generic", lambda files: files.select("project_id", F.lit(0.1).alias("score"), F.lit("rest").alias("reason")).distinct(), lambda files: files, lambda files: {"signals": facts.extract_generic_signals(files)}, specialized=False))
+    out.register(Capability("generic", lambda files: files.select("project_id", F.lit(0.1).alias("score"), F.lit("rest").alias("reason")).distinct(), F.lit(True), lambda files: {"signals": facts.extract_generic_signals(files)}, specialized=False))
     return out
 
 

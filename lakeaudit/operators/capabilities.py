@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
@@ -23,14 +23,14 @@ UNKNOWN = "未识别的项目类型"
 
 @dataclass(frozen=True)
 class Capability:
-    """detect: files to (project_id, score, reason), one row a project at most; claim: files to KEYS; analyze: owned files to tables of facts by kind, each with project_id.
+    """detect: files to (project_id, score, reason), one row a project at most; claim: files to KEYS, or a condition on a file's own columns; analyze: owned files to tables of facts by kind, each with project_id.
 
-    A capability that isn't specialized is the fallback: it gets what is left of the generic languages, whatever its score.
+    Where all claims are conditions, a file's owner follows from it and its project's scores, and no contents are shuffled. A capability that isn't specialized is the fallback: it gets what is left of the generic languages, whatever its score.
     """
 
     name: str
     detect: Callable[[DataFrame], DataFrame]
-    claim: Callable[[DataFrame], DataFrame]
+    claim: Callable[[DataFrame], DataFrame] | Column
     analyze: Callable[[DataFrame], Mapping[str, DataFrame]]
     specialized: bool = True
 
@@ -70,15 +70,41 @@ def detections(files: DataFrame, capabilities: Sequence[Capability]) -> DataFram
     return out
 
 
+def conditions(capabilities: Sequence[Capability]) -> dict[str, Column] | None:
+    """What each capability claims, if that can be told from a file alone."""
+    if any(c.specialized and not isinstance(c.claim, Column) for c in capabilities):
+        return None
+    return {c.name: c.claim if c.specialized else F.col("language").isin(*GENERIC_LANGUAGES) for c in capabilities}
+
+
+def _chosen(capabilities: Sequence[Capability], detected: DataFrame, threshold: float) -> DataFrame:
+    return detected.where(F.col("capability").isin(*(c.name for c in capabilities)) & (~F.col("specialized") | (F.col("score") >= threshold)))
+
+
+def decide(files: DataFrame, claimed: Mapping[str, Column], chosen: DataFrame) -> DataFrame:
+    """files with _owner, by the conditions ``claimed``; a file without a name is nobody's. Files meet one row a project."""
+    turn = F.struct((~F.col("specialized")).alias("rest"), (-F.col("score")).alias("score"), "rank", "capability")
+    ranked = chosen.groupBy("project_id").agg(F.array_sort(F.collect_list(turn)).alias("_ranked"))
+    mine = F.array(*[F.when(condition, F.lit(name)) for name, condition in claimed.items()])
+    first = F.get(F.filter("_ranked", lambda x: F.coalesce(F.array_contains(F.array_compact("_claims"), x["capability"]), F.lit(False))), F.lit(0))
+    owner = F.when(F.col("relative_path").isNotNull(), first["capability"])
+    return files.withColumn("_claims", mine).join(ranked, "project_id", "left").select(*files.columns, owner.alias("_owner"))
+
+
 def allocate(files: DataFrame, capabilities: Sequence[Capability], detected: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(KEYS, owner): of the capabilities that a project chose and that claim a file the one of highest score, of equals the first registered; else the fallback; else null."""
     if not capabilities:
         return files.select(*KEYS, F.lit(None).cast("string").alias("owner"))
-    names = {c.name for c in capabilities}
-    chosen = detected.where(F.col("capability").isin(*names) & (~F.col("specialized") | (F.col("score") >= threshold)))
+    chosen, claimed = _chosen(capabilities, detected, threshold), conditions(capabilities)
+    if claimed is not None:
+        return decide(files, claimed, chosen).select(*KEYS, F.col("_owner").alias("owner"))
     claims = None
     for c in capabilities:
-        mine = (c.claim(files) if c.specialized else files.where(F.col("language").isin(*GENERIC_LANGUAGES))).select(*KEYS).distinct().withColumn("capability", F.lit(c.name))
+        if not c.specialized or isinstance(c.claim, Column):
+            held = files.where(c.claim if c.specialized else F.col("language").isin(*GENERIC_LANGUAGES))
+        else:
+            held = c.claim(files)
+        mine = held.select(*KEYS).distinct().withColumn("capability", F.lit(c.name))
         claims = mine if claims is None else claims.unionByName(mine)
     # A project has as many rows of ``chosen`` as there are capabilities, which code bounds.
     best = F.min_by("capability", F.struct(~F.col("specialized"), -F.col("score"), "rank"))
@@ -86,23 +112,38 @@ def allocate(files: DataFrame, capabilities: Sequence[Capability], detected: Dat
     return files.select(*KEYS).join(owned, KEYS, "left")
 
 
+def _owned(contents: DataFrame, files: DataFrame, capabilities: Sequence[Capability], detected: DataFrame | None, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(KEYS, owner) of ``contents``, some of the files, and these with _owner where they have one; both written."""
+    claimed = conditions(capabilities) if capabilities else None
+    if claimed is not None:
+        decided = decide(contents, claimed, _chosen(capabilities, detected, threshold))
+        owners = written(decided.select(*KEYS, F.col("_owner").alias("owner")), "owners")
+        return owners, written(decided.where("_owner is not null"), "owned")
+    # Claims are made on all files, since one may rest on others.
+    every = written(allocate(files, capabilities, detected, threshold), "owners")
+    known = every.where("owner is not null").select(*KEYS, F.col("owner").alias("_owner")).distinct()
+    shared = written(contents.join(known, KEYS).select(*files.columns, "_owner"), "owned")
+    return every, shared
+
+
 def run(files: DataFrame, registry: Registry, threshold: float = THRESHOLD) -> Run:
     """Detect, share out, analyse. ``files`` should be written: it is read once for each capability.
 
     An analysis that fails, while planned or while it runs, fails its capability: that is noted for each project it had files in,
-    its files are shared out among the others, and these analyse anew. There are at most as many rounds as capabilities.
+    its files are shared out among the others, and those that get some analyse anew. There are at most as many rounds as capabilities.
     """
     spark = files.sparkSession
     alive = list(registry.capabilities)
     detected = written(detections(files, alive), "detections") if alive else None
     failures = spark.createDataFrame([], "project_id string, capability string, error string")
+    # Contents meet their owners once, those of a failed capability once more; an analysis may read its files many times.
+    owners, shared = _owned(files, files, alive, detected, threshold)
+    facts: dict[str, dict[str, DataFrame]] = {}
     while True:
-        owners = written(allocate(files, alive, detected, threshold), "owners")
-        facts: dict[str, dict[str, DataFrame]] = {}
         failed = None
-        # Contents meet their owners once a round; an analysis may read its files many times.
-        shared = written(files.join(owners.where("owner is not null").select(*KEYS, F.col("owner").alias("_owner")).distinct(), KEYS).select(*files.columns, "_owner"), "owned")
         for c in alive:
+            if c.name in facts:
+                continue
             mine = shared.where(F.col("_owner") == c.name).drop("_owner")
             try:
                 facts[c.name] = {kind: written(table, f"facts-{kind}") for kind, table in c.analyze(mine).items()}
@@ -114,7 +155,17 @@ def run(files: DataFrame, registry: Registry, threshold: float = THRESHOLD) -> R
         if failed is None:
             break
         alive.remove(failed)
-    return Run(owners, selections(owners, detected, failures, threshold), failures, facts)
+        # No other file's owner changes: it had a better one than the capability that failed.
+        lost = shared.where(F.col("_owner") == failed.name).drop("_owner")
+        told, moved = _owned(lost, files, alive, detected, threshold)
+        if alive and conditions(alive) is None or not alive:
+            owners = told
+        else:
+            owners = owners.where(F.col("owner").isNull() | (F.col("owner") != failed.name)).unionByName(told)
+        shared = shared.where(F.col("_owner") != failed.name).unionByName(moved)
+        for r in moved.select("_owner").distinct().collect():  # capabilities
+            facts.pop(r["_owner"], None)
+    return Run(owners, selections(owners, detected, failures, threshold), failures, {c.name: facts[c.name] for c in alive})
 
 
 def selections(owners: DataFrame, detected: DataFrame | None, failures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

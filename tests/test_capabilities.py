@@ -95,3 +95,34 @@ def test_contents_meet_their_owners_once(spark):
     found = capabilities.run(files, registry)
     assert len(seen) == 1 and "Join" not in seen[0]
     assert sorted(map(tuple, found.facts["rest"]["paths"].collect())) == [("p", "a.py"), ("p", "a.py"), ("p", "b.go")]
+
+
+def test_claims_by_condition_share_out_alike_and_shuffle_no_contents(spark):
+    def registry(as_condition):
+        out, calls = Registry(), []
+
+        def counting(name):
+            def analyze(files):
+                calls.append(name)
+                return {"seen": files.select("project_id", "relative_path")}
+
+            return analyze
+
+        for name, score, languages, analyze in (("one", 0.7, ["python", "go"], counting("one")), ("bad", 0.9, ["sql", "python"], planned), ("two", 0.7, ["go", "sql"], counting("two")), ("worse", 0.8, ["java"], running)):
+            c = capability(name, score, languages, analyze)
+            out.register(Capability(name, c.detect, F.col("language").isin(*languages) if as_condition else c.claim, analyze))
+        out.register(capability("rest", 0.1, [], counting("rest"), specialized=False))
+        return out, calls
+
+    plain, named = (lake(spark).unionByName(lake(spark).where("language = 'go'").withColumn("relative_path", F.lit(None).cast("string"))) for _ in range(2))
+    (by_frame, _), (by_condition, calls) = registry(False), registry(True)
+    theirs, ours = capabilities.run(plain, by_frame), capabilities.run(named, by_condition)
+    for table in ("owners", "selections", "failures"):
+        a, b = (sorted(map(str, getattr(r, table).drop("error").collect())) for r in (theirs, ours))
+        assert a == b, table
+    assert {k: sorted(map(tuple, t["seen"].collect())) for k, t in theirs.facts.items()} == {k: sorted(map(tuple, t["seen"].collect())) for k, t in ours.facts.items()}
+    # "one" got a file of "bad" and analysed anew; what nothing was added to is kept.
+    assert calls == ["one", "one", "two", "rest"]
+    held = capabilities.detections(plain, by_condition.capabilities).localCheckpoint()
+    plan = capabilities.allocate(plain, by_condition.capabilities, held)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
