@@ -242,3 +242,18 @@ def test_toxicity_of_odd_rows(spark, model):
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 7), *((k, 0) for k in range(3, 20))], "doc_id long, toxic int")
     one = toxicity.fit(spark.createDataFrame([(3, "tarn", "", 0.0)], SCHEMA), odd)
     assert not one.weights and one.score("tarn") < 0.5
+
+
+def test_leading_scores_by_sorting_and_by_looking_up():
+    import numpy as np
+
+    from lakeaudit.llm import hard_negatives
+
+    turn = np.random.default_rng(3)
+    for kind in (float, np.int64):
+        for share in (0.0, 0.01, 0.2, 1.0):
+            scores = turn.integers(-6, 6, (40, 300)).astype(kind)
+            fits = turn.random(scores.shape) < share
+            fits[3], fits[5, 7:9] = False, True
+            expected = [(r, c, int(scores[r, c])) for r in range(40) for c in sorted(np.flatnonzero(fits[r]), key=lambda c: (-scores[r, c], c))[:5]]
+            assert sorted(map(tuple, zip(*(x.tolist() for x in hard_negatives.leading(scores, fits, 5))))) == sorted((r, int(c), v) for r, c, v in expected)
