@@ -1,5 +1,8 @@
+import os
 import re
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lakeaudit.functions import text as T
@@ -106,3 +109,33 @@ def test_lines_around_findings(spark):
     got = {r.seq: (r.header_required, r.n_writes) for r in findings.line_facts(claims, files).collect()}
     # The last method of A has no modifier, so the one above stands for it; a method has 120 lines at most.
     assert got == {1: (False, 2), 2: (False, 2), 3: (False, 4), 4: (False, 0), 5: (False, 119), 6: (True, 0), 7: (False, 0), 9: (False, 4)}
+
+
+def test_languages_and_ignored_folders_of_odd_paths(spark):
+    """As the patterns [^/]\\.([^./]+)$ and a list of folders have it."""
+    paths = ["a.java", ".java", "x/.java", "x/a.JAVA", "a.b.ts", "a..py", "a.java/", "x.d/a", "a.java\n", "a\n.java", "", "a.", "é.vue", "build/a.py", "x/build/a.py", "rebuild/a.py", "a/.git", "build\n/a.py", "x/target", "build.py", ".mvn/a.xml", "amvn/a.xml", None]
+
+    def known(path):
+        m = path is not None and re.search(r"[^/]\.([^./]+)$", path)
+        return T.LANGUAGES.get(m[1].lower()) if m else None
+
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", T.language("path").alias("l"), T.is_scannable("path", F.lit(1)).alias("s")).collect()
+    assert [(r.l, r.s) for r in rows] == [(known(p), None if p is None else not set(p.split("/")) & set(T.IGNORED)) for p in paths]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_spelled_out_files_are_filtered_by_compiled_code(spark):
+    """Java compiles no method of more than 8,000 bytes, so the texts of all files mustn't be in one with what looks for some of them."""
+    from lakeaudit.jobs.java_queries import files
+
+    found = facts.of(files(spark, "/root/testdata/sf0.001"), "xml").where(F.col("content").contains("<mapper"))
+    stages = found._jdf.queryExecution().debug().codegenToSeq()
+    assert stages.size() and max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
+
+
+def test_slices_hold_few_long_or_many_short_texts():
+    def sizes(texts):
+        return [b.num_rows for b in facts.slices(pa.RecordBatch.from_pydict({"content": pa.array(texts, pa.string())}), "content")]
+
+    assert sizes(["x"] * 2500) == [1024, 1024, 452] and sizes([]) == [] and sizes([None] * 3) == [3]
+    assert sizes(["x" * 500_000] * 130) == [64, 64, 2]
